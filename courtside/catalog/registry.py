@@ -19,7 +19,7 @@ def cte(name: str, body: str) -> None:
 
 
 def _needed(sql: str, seen: list[str]) -> None:
-    for name in re.findall(r"\{(\w+)\}", sql):
+    for name in re.findall(r"\{([a-z]\w*)\}", sql):
         if name not in seen:
             _needed(CTES[name], seen)
             seen.append(name)
@@ -29,11 +29,13 @@ def render(sql: str) -> str:
     """Prefix the CTEs a query refers to, in dependency order."""
     names: list[str] = []
     _needed(sql, names)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{([a-z]\w*)\}", r"\1", s)
     if not names:
         return sql.strip()
     parts = [f"{n} AS MATERIALIZED ({plain(CTES[n])})" for n in names]
-    return "WITH " + ",\n".join(parts) + "\n" + plain(sql).strip()
+    body = plain(sql).strip()
+    own = body.startswith("WITH ")
+    return "WITH " + ",\n".join(parts) + (",\n" + body[5:] if own else "\n" + body)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

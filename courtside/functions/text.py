@@ -56,5 +56,12 @@ def link_slug(link: Column, folder: str) -> Column:
 
 
 def whole_word(text: Column, word: Column) -> Column:
-    """Text holds the word, case-insensitive, on word borders."""
-    return F.regexp_like(F.lower(text), F.concat(F.lit(r"\b"), F.lower(word), F.lit(r"\b")))
+    """Text holds the word, case-insensitive, between non-word characters.
+
+    The borders are spelled out over all letters, so accented neighbours count
+    as part of a word.
+    """
+    edge = r"[\p{L}\p{N}_]"
+    return F.regexp_like(
+        F.lower(text), F.concat(F.lit(f"(?<!{edge})"), F.lower(word), F.lit(f"(?!{edge})"))
+    )

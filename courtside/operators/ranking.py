@@ -31,13 +31,13 @@ def quantile_buckets(df: DataFrame, col: str, out: str, n: int = N_BUCKETS) -> D
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], col: str, descending: bool = False) -> DataFrame:
-    """Distinct non-null values per group with ``n`` (rows), ``rank_min``
+    """Distinct non-null values per group with ``n_rows``, ``rank_min``
     (competition rank), ``rank_dense`` and ``n_total``."""
     value = -F.col(col) if descending else F.col(col)
     counts = stage(
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, col)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("_o", value),
         "value_counts",
     )
@@ -46,13 +46,13 @@ def value_ranks(df: DataFrame, keys: Sequence[str], col: str, descending: bool =
         keys,
         ["_o"],
         F.col("_range"),
-        {"_cum": running("n"), "rank_dense": running(F.lit(1)), "n_total": total("n")},
+        {"_cum": running("n_rows"), "rank_dense": running(F.lit(1)), "n_total": total("n_rows")},
     )
     return ranked.select(
         *keys,
         col,
-        "n",
-        (F.col("_cum") - F.col("n") + 1).alias("rank_min"),
+        "n_rows",
+        (F.col("_cum") - F.col("n_rows") + 1).alias("rank_min"),
         F.col("rank_dense").cast("long").alias("rank_dense"),
         "n_total",
     )
@@ -105,7 +105,7 @@ def exact_quantiles(
     holds a group's values in memory (unlike the built-in exact percentile).
     """
     ranks = value_ranks(df, keys, col)
-    last = F.col("rank_min") + F.col("n") - 1
+    last = F.col("rank_min") + F.col("n_rows") - 1
     picks, finals = [], []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("n_total") - 1)
@@ -117,3 +117,15 @@ def exact_quantiles(
         lo, hi, wt = (F.col(f"_{k}_{name}") for k in ("lo", "hi", "w"))
         finals.append((lo + wt * (hi - lo)).cast("double").alias(name))
     return ranks.groupBy(*keys).agg(*picks).select(*keys, *finals)
+
+
+def top_dense(
+    df: DataFrame, col: str, n: int, rank_as: str, descending: bool = True
+) -> DataFrame:
+    """Rows whose value is one of the n best distinct values, with their dense rank."""
+    order = F.col(col).desc() if descending else F.col(col).asc()
+    ladder = (
+        df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(order).limit(n)
+        .withColumn(rank_as, F.dense_rank().over(Window.orderBy(order)).cast("long"))
+    )
+    return df.join(F.broadcast(ladder), col).select(*df.columns, rank_as)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 def snake(name: str) -> str:
     """Column name in lower snake case; a leading digit gets an x."""
     s = name.strip().replace("%", "_percent_")
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
+    s = re.sub(r"([a-z])([A-Z])", r"\1_\2", s)
     s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
     return f"x{s}" if s[:1].isdigit() else s
 
