@@ -41,12 +41,12 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("full_outer", """
 SELECT coalesce(a.n, b.n) AS nation, n_suppliers, n_customers
 FROM (SELECT s_nationkey AS n, count(*) AS n_suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) a
-FULL JOIN (SELECT c_nationkey AS n, count(*) AS n_customers FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY ALL) b ON a.n = b.n""")
+FULL JOIN (SELECT c_nationkey AS n, count(*) AS n_customers FROM customer WHERE c_acctbal > 9900 GROUP BY ALL) b ON a.n = b.n""")
 def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1))
     sup = read(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(
         F.col("s_nationkey").alias("nation")).agg(n.alias("n_suppliers"))
-    cust = read(spark, sf_dir, "customer").where("c_nationkey % 3 <> 0").groupBy(
+    cust = read(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy(
         F.col("c_nationkey").alias("nation")).agg(n.alias("n_customers"))
     return sup.join(cust, "nation", "full_outer")
 

@@ -144,15 +144,20 @@ SELECT * FROM (
 WHERE lineup_hash IS NOT NULL""")
 
 
-def lineup_table(acts: DataFrame) -> DataFrame:
+def court_state(acts: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+    """On-court states from the staged substitution and roster tables, which the
+    chain reads several times and which are far smaller than the log."""
+    roster = stage(rosters(acts), "full_rosters") if roster is None else roster
+    return L.on_court_state(roster, stage(L.substitutions(acts), "subs"))
+
+
+def lineup_table(acts: DataFrame, roster: DataFrame | None = None) -> DataFrame:
     """On-court states with lineup keys, staged: segments and ratings reuse them."""
-    state = stage(L.on_court_state(rosters(acts), L.substitutions(acts)), "on_court_state")
-    return stage(L.lineup_key(state), "lineups_lookup")
+    return stage(L.lineup_key(court_state(acts, roster)), "lineups_lookup")
 
 
 def stint_table(acts: DataFrame, lineups: DataFrame) -> DataFrame:
-    segments = stage(L.lineup_segments(lineups, acts), "segments")
-    return stage(L.stints(segments), "stints")
+    return L.stints(stage(L.lineup_segments(lineups, acts), "segments"))
 
 
 def assigned_table(acts: DataFrame, stints: DataFrame) -> DataFrame:
@@ -160,24 +165,22 @@ def assigned_table(acts: DataFrame, stints: DataFrame) -> DataFrame:
 
 
 def game_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lineups, staged two-sided possessions, rosters)."""
+    """(staged lineups, two-sided possessions, rosters)."""
     acts = actions(spark, sf_dir)
-    lineups = lineup_table(acts)
+    roster = stage(rosters(acts), "full_rosters")
+    lineups = lineup_table(acts, roster)
     assigned = assigned_table(acts, stint_table(acts, lineups))
-    return lineups, stage(L.two_sided(assigned, SIDED_KEEP), "two_sided"), rosters(acts)
+    return lineups, L.two_sided(assigned, SIDED_KEEP), roster
 
 
 @query("on_court_state", "SELECT * FROM {state}")
 def on_court_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acts = actions(spark, sf_dir)
-    return L.on_court_state(rosters(acts), L.substitutions(acts))
+    return court_state(actions(spark, sf_dir))
 
 
 @query("lineup_keys", "SELECT * FROM {lineups}")
 def lineup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    acts = actions(spark, sf_dir)
-    state = stage(L.on_court_state(rosters(acts), L.substitutions(acts)), "on_court_state")
-    return L.lineup_key(state)
+    return L.lineup_key(court_state(actions(spark, sf_dir)))
 
 
 @query("lineup_dim", "SELECT DISTINCT lineup_hash, lineup_id FROM {lineups}")

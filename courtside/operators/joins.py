@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-DEFAULT_CELL = 256
+DEFAULT_CELL = 64
 
 
 def _cells(start: str, end: str, width: int) -> Column:

@@ -15,18 +15,25 @@ from pyspark.sql.window import Window
 from ..session import stage
 from .ordered import ordered_pass, running, total
 
-N_BUCKETS = 64
+BUCKET_BITS = 10
 
 
-def quantile_buckets(df: DataFrame, col: str, out: str, n: int = N_BUCKETS) -> DataFrame:
+def quantile_buckets(df: DataFrame, col: str, out: str, bits: int = BUCKET_BITS) -> DataFrame:
     """Add a bucket number non-decreasing in ``col``, cut at approximate quantiles.
 
     Where the cuts fall only affects balance, never results. The cuts are one
-    row of ``n`` numbers, read as a scalar subquery.
+    row of ``2 ** bits - 1`` numbers, read as a scalar subquery; a row finds its
+    bucket (how many cuts lie below it) by bisection.
     """
+    n = 2**bits
     cuts = [i / n for i in range(1, n)]
     bounds = df.agg(F.percentile_approx(col, cuts).alias("cuts")).scalar()
-    below = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda b: b < F.col(col)))
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    below = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(col), at + step).otherwise(at),
+    )
     return df.withColumn("_cuts", bounds).withColumn(out, below).drop("_cuts")
 
 

@@ -30,40 +30,54 @@ def substitutions(actions: DataFrame) -> DataFrame:
 def on_court_state(rosters: DataFrame, subs: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Last known on/off state of every roster player at every substitution tick.
 
-    Each substitution is listed for the players of its team (a roster, so a
-    dozen or two), the state is filled down per (game, player) in id buckets,
-    and the last row per tick is kept by aggregation. ``id`` must be unique
+    A substitution changes the state of the one or two players it names; only
+    the ticks (at most one per second of the clock) are listed for the whole
+    roster. Changes and ticks are ordered together by id, filled down per
+    (game, player) in id buckets, and the tick rows kept. ``id`` must be unique
     within a game.
     """
+    tick = [*TICK, "quarter_time", "end_quarter_seconds_remaining"]
+    player_in, player_out = F.col("parameters_player_in"), F.col("parameters_player_out")
+    change = lambda who, on: F.struct(who.alias("player_id"), F.lit(on).alias("_state"))
+    named = F.array(
+        F.when(player_in.isNotNull(), change(player_in, True)),
+        F.when(
+            player_out.isNotNull() & ~player_out.eqNullSafe(player_in), change(player_out, False)
+        ),
+    )
     roster = rosters.select("player_id", "game_id", "team_id").distinct()
-    player = F.col("player_id")
-    state = F.when(player == F.col("parameters_player_in"), True).when(
-        player == F.col("parameters_player_out"), False
+    changes = (
+        subs.select("game_id", "team_id", "id", F.explode(F.array_compact(named)).alias("_n"))
+        .select("game_id", "team_id", "id", "_n.*")
+        .join(roster, ["player_id", "game_id", "team_id"], "left_semi")
+    )
+    ticks = subs.groupBy(*tick).agg(F.max("id").alias("id")).join(roster, ["team_id", "game_id"])
+    rows = ticks.withColumn("_at", F.col("id") * 2 + 1).unionByName(
+        changes.withColumn("_at", F.col("id") * 2), allowMissingColumns=True
     )
-    listed = subs.join(roster, ["team_id", "game_id"]).withColumn("_state", state)
     filled = ordered_pass(
-        listed.select("id", "player_id", *TICK, "quarter_time",
-                      "end_quarter_seconds_remaining", "_state"),
-        ["game_id", "player_id"],
-        ["id"],
-        bucket_of("id", width),
+        rows, ["game_id", "player_id"], ["_at"], bucket_of("_at", width),
         {"is_on_verdict": fill_down("_state")},
     )
-    tick = [*TICK, "quarter_time", "end_quarter_seconds_remaining", "player_id"]
-    return filled.groupBy(*tick).agg(
-        F.max("id").alias("_id"), F.max_by("is_on_verdict", "id").alias("is_on_verdict")
-    ).withColumnRenamed("_id", "id")
+    return filled.where(F.col("_at") % 2 == 1).select(
+        *tick, "player_id", "id", "is_on_verdict"
+    )
 
 
 def lineup_key(state: DataFrame) -> DataFrame:
-    """Lineup id (on-court ids in numeric order), head count and hash per tick."""
-    on = F.col("is_on_verdict")
-    ids = F.array_sort(F.collect_set(F.when(on, F.col("player_id").cast("bigint"))))
-    keyed = state.groupBy(*TICK).agg(
-        F.nullif(F.array_join(ids, "_"), F.lit("")).alias("lineup_id"),
-        F.count_if(on).alias("n_on"),
-    )
-    return state.join(keyed, TICK).withColumn("lineup_hash", F.md5("lineup_id"))
+    """Lineup id (on-court ids in numeric order), head count and hash per tick.
+
+    The window over a tick holds one roster, so it costs a single shuffle and
+    no join back.
+    """
+    on, tick = F.col("is_on_verdict"), Window.partitionBy(*TICK)
+    ids = F.collect_set(F.when(on, F.col("player_id").cast("bigint"))).over(tick)
+    return state.withColumns(
+        {
+            "lineup_id": F.nullif(F.array_join(F.array_sort(ids), "_"), F.lit("")),
+            "n_on": F.count_if(on).over(tick),
+        }
+    ).withColumn("lineup_hash", F.md5("lineup_id"))
 
 
 def lineup_dim(lineups: DataFrame) -> DataFrame:
