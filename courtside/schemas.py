@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def schema(ddl: str) -> T.StructType:
-    """Schema from ``name type`` pairs."""
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "string": T.StringType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+}
+
+
+def schema(fields: str) -> T.StructType:
+    """Schema from ``name type`` pairs; needs no running session."""
+    pairs = (f.split() for f in fields.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # fixed values: the 35 columns of the action-tree play-by-play table
