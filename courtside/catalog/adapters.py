@@ -5,30 +5,23 @@ Each adapter has a Spark form and an oracle CTE of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import bucket_of, ordered_pass, running
 from .registry import cte
 
-DAY, HALF = 86_400, 21_600
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _second_of_day(ts: str = "ts") -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the integer in ``props`` and the second of the day."""
-    return read(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").selectExpr(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
-        _second_of_day().alias("sod"),
-        F.dayofmonth("ts").alias("game_id"),
+        "int(regexp_extract(props, '([0-9]+)', 1)) AS k",
+        "hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS sod",
+        "dayofmonth(ts) AS game_id",
     )
 
 
@@ -40,65 +33,53 @@ SELECT event_id, ts, user_id, event_type, value,
 FROM events""")
 
 
-def actions(spark: SparkSession, sf_dir: str, source: bool = False) -> DataFrame:
+# event types that are substitutions, so that the filter reaches the scan
+SUB_EVENTS = ("signup", "error")
+
+ACTION_TYPE = """CASE WHEN event_type = 'purchase' THEN 'shot'
+  WHEN event_type = 'view' THEN if(k >= 95, 'foul', 'rebound')
+  WHEN event_type IN ('signup', 'error') THEN 'substitution'
+  WHEN k < 50 THEN 'shot' WHEN k < 70 THEN 'freeThrow' WHEN k < 85 THEN 'turnover'
+  WHEN k < 98 THEN 'block' ELSE 'quarter' END"""
+ACTION_COLUMNS = (
+    "game_id",
+    "event_id AS id",
+    "if(event_id % 4 = 0, 0, event_id - event_id % 4) AS parent_action_id",
+    "ts AS user_time",
+    "int(sod div 21600 + 1) AS quarter",
+    "concat(_left div 60, ':', lpad(_left % 60, 2, '0')) AS quarter_time",
+    "_left AS end_quarter_seconds_remaining",
+    "86400 - sod AS end_game_seconds_remaining",
+    "type",
+    "if(type <> 'quarter', int(user_id % 2 + 1), 0) AS team_id",
+    "if(type <> 'quarter', int(user_id % 20), NULL) AS player_id",
+    """CASE type WHEN 'foul' THEN 'technical' WHEN 'quarter' THEN 'end-of-quarter'
+      WHEN 'rebound' THEN if(k % 4 = 0, 'offensive', 'defensive')
+      WHEN 'shot' THEN if(k % 5 = 0, '3-pt', '2-pt') END AS parameters_type""",
+    """CASE type WHEN 'shot' THEN CASE WHEN k % 2 = 0 THEN 'made' WHEN k % 10 = 9 THEN 'blocked' ELSE 'missed' END
+      WHEN 'freeThrow' THEN if(k % 3 <> 0, 'made', 'missed') END AS parameters_made""",
+    "if(type = 'shot', if(k % 5 = 0, 3, 2), NULL) AS parameters_points",
+    "if(type = 'freeThrow', k % 2 + 1, NULL) AS parameters_free_throw_number",
+    "if(type = 'freeThrow', 2, NULL) AS parameters_free_throws_awarded",
+    "if(event_type = 'signup', int(user_id % 20), NULL) AS parameters_player_in",
+    "if(event_type = 'error', int(user_id % 20), NULL) AS parameters_player_out",
+)
+
+
+def actions(
+    spark: SparkSession, sf_dir: str, source: bool = False, only: tuple[str, ...] = ()
+) -> DataFrame:
     """Action-tree play-by-play: one game per day, four quarters of six hours.
 
-    ``source`` keeps the columns of the event a row was made from.
+    ``source`` keeps the columns of the event a row was made from; ``only``
+    reads just the events of some types.
     """
-    kind, k = F.col("event_type"), F.col("k")
-    typed = events(spark, sf_dir).withColumn(
-        "type",
-        F.when(kind == "purchase", "shot")
-        .when((kind == "view") & (k >= 95), "foul")
-        .when(kind == "view", "rebound")
-        .when(kind.isin("signup", "error"), "substitution")
-        .when(k < 50, "shot")
-        .when(k < 70, "freeThrow")
-        .when(k < 85, "turnover")
-        .when(k < 98, "block")
-        .otherwise("quarter"),
-    )
-    t = F.col("type")
-    in_play = t != "quarter"
-    left_in_quarter = HALF - F.col("sod") % HALF
-    player = F.when(in_play, (F.col("user_id") % 20).cast("int"))
-    return typed.select(
-        "game_id",
-        F.col("event_id").alias("id"),
-        F.when(F.col("event_id") % 4 == 0, 0)
-        .otherwise(F.col("event_id") - F.col("event_id") % 4)
-        .alias("parent_action_id"),
-        F.col("ts").alias("user_time"),
-        (F.floor(F.col("sod") / HALF) + 1).cast("int").alias("quarter"),
-        F.concat(
-            F.expr(f"({HALF} - sod % {HALF}) div 60").cast("string"),
-            F.lit(":"),
-            F.lpad((left_in_quarter % 60).cast("string"), 2, "0"),
-        ).alias("quarter_time"),
-        left_in_quarter.alias("end_quarter_seconds_remaining"),
-        (DAY - F.col("sod")).alias("end_game_seconds_remaining"),
-        "type",
-        F.when(in_play, (F.col("user_id") % 2 + 1).cast("int")).otherwise(0).alias("team_id"),
-        player.alias("player_id"),
-        F.when(t == "foul", "technical")
-        .when((t == "rebound") & (k % 4 == 0), "offensive")
-        .when(t == "rebound", "defensive")
-        .when(t == "quarter", "end-of-quarter")
-        .when((t == "shot") & (k % 5 == 0), "3-pt")
-        .when(t == "shot", "2-pt")
-        .alias("parameters_type"),
-        F.when((t == "shot") & (k % 2 == 0), "made")
-        .when((t == "shot") & (k % 10 == 9), "blocked")
-        .when(t == "shot", "missed")
-        .when((t == "freeThrow") & (k % 3 != 0), "made")
-        .when(t == "freeThrow", "missed")
-        .alias("parameters_made"),
-        F.when((t == "shot") & (k % 5 == 0), 3).when(t == "shot", 2).alias("parameters_points"),
-        F.when(t == "freeThrow", k % 2 + 1).alias("parameters_free_throw_number"),
-        F.when(t == "freeThrow", 2).alias("parameters_free_throws_awarded"),
-        F.when(kind == "signup", player).alias("parameters_player_in"),
-        F.when(kind == "error", player).alias("parameters_player_out"),
-        *(["event_id", "user_id", "k", "sod"] if source else []),
+    rows = events(spark, sf_dir)
+    if only:
+        rows = rows.where(F.col("event_type").isin(*only))
+    typed = rows.selectExpr("*", f"{ACTION_TYPE} AS type", "21600 - sod % 21600 AS _left")
+    return typed.selectExpr(
+        *ACTION_COLUMNS, *(["event_id", "user_id", "k", "sod"] if source else [])
     )
 
 
@@ -135,17 +116,13 @@ FROM {typed}""")
 
 def rosters(acts: DataFrame) -> DataFrame:
     """(player, game, team) with names; distinct by partial aggregation."""
-    pid = F.col("player_id").cast("string")
     return (
         acts.where(F.col("team_id") != 0)
         .select("player_id", "game_id", "team_id")
         .distinct()
-        .withColumns(
-            {
-                "first_name": F.concat(F.lit("F"), (F.col("player_id") % 7).cast("string")),
-                "last_name": F.concat(F.lit("L"), pid),
-                "team_name": F.concat(F.lit("Team "), F.col("team_id").cast("string")),
-            }
+        .selectExpr(
+            "*", "concat('F', player_id % 7) AS first_name", "concat('L', player_id) AS last_name",
+            "concat('Team ', team_id) AS team_name",
         )
     )
 
@@ -165,50 +142,38 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 cte("schedule", "SELECT DISTINCT game_id, CAST(ts AS DATE) AS game_date FROM {ev}")
 
 
+POINTS = """CASE WHEN parameters_made = 'made' AND type = 'freeThrow' THEN 1
+  WHEN parameters_made = 'made' THEN parameters_points ELSE 0 END"""
+EVENT_TEXT = """CASE
+  WHEN type IN ('shot', 'freeThrow') THEN concat('P', user_id % 20,
+    if(parameters_made = 'made', ' makes ', ' misses '), if(type = 'shot',
+      concat(parameters_type, ' shot from ', k % 28 + 1, ' ft'), concat('free throw ', k % 2 + 1, ' of 2')))
+  WHEN type = 'rebound' THEN concat(initcap(parameters_type), ' rebound by P', user_id % 20)
+  WHEN type = 'turnover' THEN concat('Turnover by P', user_id % 20)
+  ELSE concat(type, ' P', user_id % 20) END"""
+
+
 def raw_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text play-by-play of the same events: "MM:SS" clock of a 48-minute game,
     one text cell per side, running score (absent on substitutions)."""
-    acts = actions(spark, sf_dir, source=True)
-    t, made = F.col("type"), F.col("parameters_made") == "made"
-    who = F.concat(F.lit("P"), (F.col("user_id") % 20).cast("string"))
-    verb = F.when(made, "makes").otherwise("misses")
-    event = (
-        F.when(t == "shot", F.concat(who, F.lit(" "), verb, F.lit(" "), F.col("parameters_type"),
-               F.lit(" shot from "), (F.col("k") % 28 + 1).cast("string"), F.lit(" ft")))
-        .when(t == "freeThrow", F.concat(who, F.lit(" "), verb, F.lit(" free throw "),
-              (F.col("k") % 2 + 1).cast("string"), F.lit(" of 2")))
-        .when((t == "rebound") & (F.col("parameters_type") == "offensive"),
-              F.concat(F.lit("Offensive rebound by "), who))
-        .when(t == "rebound", F.concat(F.lit("Defensive rebound by "), who))
-        .when(t == "turnover", F.concat(F.lit("Turnover by "), who))
-        .otherwise(F.concat(t, F.lit(" "), who))
+    told = actions(spark, sf_dir, source=True).selectExpr(
+        "game_id", "event_id AS seq", "type", "user_id % 2 = 0 AS _visit", f"{POINTS} AS _pts",
+        "if((sod div 30) % 720 < 12, 720, 720 - (sod div 30) % 720) AS _clock",
+        f"{EVENT_TEXT} AS _event",
     )
-    visit = F.col("user_id") % 2 == 0
-    played = F.expr("sod div 30") % 720
-    clock = F.when(played < 12, 720).otherwise(720 - played)
-    points = F.when(made & (t == "freeThrow"), 1).when(made, F.col("parameters_points")).otherwise(0)
-    rows = acts.withColumns(
-        {
-            "_event": event,
-            "_clock": clock,
-            "_visit_pts": F.when(visit, points).otherwise(0),
-            "_home_pts": F.when(visit, 0).otherwise(points),
-        }
-    ).select("game_id", F.col("event_id").alias("seq"), "type", visit.alias("_visit"), "_event",
-             "_clock", "_visit_pts", "_home_pts")
     scored = ordered_pass(
-        rows, ["game_id"], ["seq"], bucket_of("seq"),
-        {"_visit_run": running("_visit_pts"), "_home_run": running("_home_pts")},
+        told, ["game_id"], ["seq"], bucket_of("seq"),
+        {
+            "_visit_run": running(F.expr("if(_visit, _pts, 0)")),
+            "_home_run": running(F.expr("if(_visit, 0, _pts)")),
+        },
     )
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    return scored.select(
+    return scored.selectExpr(
         "game_id", "seq",
-        F.concat(two(F.expr("_clock div 60")), F.lit(":"), two(F.col("_clock") % 60)).alias("time"),
-        F.when(F.col("_visit"), F.col("_event")).otherwise("").alias("visit_team"),
-        F.when(F.col("type") != "substitution",
-               F.concat_ws("-", F.col("_visit_run").cast("string"), F.col("_home_run").cast("string"))
-               ).alias("score"),
-        F.when(F.col("_visit"), "").otherwise(F.col("_event")).alias("home_team"),
+        "concat(lpad(_clock div 60, 2, '0'), ':', lpad(_clock % 60, 2, '0')) AS time",
+        "if(_visit, _event, '') AS visit_team",
+        "if(type <> 'substitution', concat(_visit_run, '-', _home_run), NULL) AS score",
+        "if(_visit, '', _event) AS home_team",
     )
 
 
@@ -241,18 +206,14 @@ FROM (
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final score and team names per game."""
-    acts = actions(spark, sf_dir, source=True)
-    made = F.col("parameters_made") == "made"
-    pts = F.when(made & (F.col("type") == "freeThrow"), 1).when(made, F.col("parameters_points")).otherwise(0)
-    visit = F.col("user_id") % 2 == 0
-    return acts.groupBy("game_id").agg(
-        F.sum(F.when(visit, pts).otherwise(0)).alias("visitor_pts"),
-        F.sum(F.when(visit, 0).otherwise(pts)).alias("home_pts"),
-    ).withColumns(
-        {
-            "visitor_team_name": F.concat(F.lit("V"), (F.col("game_id") % 5).cast("string")),
-            "home_team_name": F.concat(F.lit("H"), (F.col("game_id") % 7).cast("string")),
-        }
+    scored = actions(spark, sf_dir, source=True).selectExpr(
+        "game_id", "user_id % 2 = 0 AS _visit", f"{POINTS} AS _pts"
+    )
+    return scored.groupBy("game_id").agg(
+        F.expr("sum(if(_visit, _pts, 0))").alias("visitor_pts"),
+        F.expr("sum(if(_visit, 0, _pts))").alias("home_pts"),
+    ).selectExpr(
+        "*", "concat('V', game_id % 5) AS visitor_team_name", "concat('H', game_id % 7) AS home_team_name"
     )
 
 

@@ -9,7 +9,7 @@ from ..operators.ordered import bucket_of, fill_down, fill_up, ordered_pass, run
 from ..plans import games as G
 from ..plans import pbp as B
 from ..session import stage
-from .adapters import actions, events, games, raw_pbp, read
+from .adapters import POINTS, actions, events, games, raw_pbp, read
 from .registry import cte, query
 
 DEFICIT = 8
@@ -73,21 +73,15 @@ def staged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running score per game with a dense row number."""
-    acts = actions(spark, sf_dir, source=True)
-    made = F.col("parameters_made") == "made"
-    pts = F.when(made & (F.col("type") == "freeThrow"), 1).when(made, F.col("parameters_points")).otherwise(0)
-    visit = F.col("user_id") % 2 == 0
-    rows = acts.select(
-        "game_id", "id", F.col("quarter").alias("qtr"), "type",
-        F.col("end_game_seconds_remaining").alias("clock"),
-        (F.col("game_id") % 3 + 2022).alias("season"),
-        pts.alias("pts"), visit.alias("_visit"),
+    rows = actions(spark, sf_dir, source=True).selectExpr(
+        "game_id", "id", "quarter AS qtr", "type", "end_game_seconds_remaining AS clock",
+        "game_id % 3 + 2022 AS season", f"{POINTS} AS pts", "user_id % 2 = 0 AS _visit",
     )
     return ordered_pass(
         rows, ["game_id"], ["id"], bucket_of("id"),
         {
-            "home_score": running(F.when(F.col("_visit"), 0).otherwise(F.col("pts"))),
-            "away_score": running(F.when(F.col("_visit"), F.col("pts")).otherwise(0)),
+            "home_score": running(F.expr("if(_visit, 0, pts)")),
+            "away_score": running(F.expr("if(_visit, pts, 0)")),
             "pos": running(F.lit(1)),
         },
     ).drop("_visit")

@@ -10,7 +10,7 @@ from ..plans import onoff as O
 from ..plans import pbp as B
 from ..plans import possessions as P
 from ..session import stage
-from .adapters import actions, rosters, schedule
+from .adapters import SUB_EVENTS, actions, rosters, schedule
 from .registry import cte, query
 
 SIDED_KEEP = ["id", "game_id", "quarter", "type", "team_score", "final_end_poss", "segment_id"]
@@ -144,16 +144,18 @@ SELECT * FROM (
 WHERE lineup_hash IS NOT NULL""")
 
 
-def court_state(acts: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+def court_state(spark: SparkSession, sf_dir: str, roster: DataFrame | None = None) -> DataFrame:
     """On-court states from the staged substitution and roster tables, which the
     chain reads several times and which are far smaller than the log."""
-    roster = stage(rosters(acts), "full_rosters") if roster is None else roster
-    return L.on_court_state(roster, stage(L.substitutions(acts), "subs"))
+    if roster is None:
+        roster = stage(rosters(actions(spark, sf_dir)), "full_rosters")
+    subs = L.substitutions(actions(spark, sf_dir, only=SUB_EVENTS))
+    return L.on_court_state(roster, stage(subs, "subs"))
 
 
-def lineup_table(acts: DataFrame, roster: DataFrame | None = None) -> DataFrame:
+def lineup_table(spark: SparkSession, sf_dir: str, roster: DataFrame | None = None) -> DataFrame:
     """On-court states with lineup keys, staged: segments and ratings reuse them."""
-    return stage(L.lineup_key(court_state(acts, roster)), "lineups_lookup")
+    return stage(L.lineup_key(court_state(spark, sf_dir, roster)), "lineups_lookup")
 
 
 def stint_table(acts: DataFrame, lineups: DataFrame) -> DataFrame:
@@ -168,19 +170,19 @@ def game_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """(staged lineups, two-sided possessions, rosters)."""
     acts = actions(spark, sf_dir)
     roster = stage(rosters(acts), "full_rosters")
-    lineups = lineup_table(acts, roster)
+    lineups = lineup_table(spark, sf_dir, roster)
     assigned = assigned_table(acts, stint_table(acts, lineups))
     return lineups, L.two_sided(assigned, SIDED_KEEP), roster
 
 
 @query("on_court_state", "SELECT * FROM {state}")
 def on_court_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return court_state(actions(spark, sf_dir))
+    return court_state(spark, sf_dir)
 
 
 @query("lineup_keys", "SELECT * FROM {lineups}")
 def lineup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.lineup_key(court_state(actions(spark, sf_dir)))
+    return L.lineup_key(court_state(spark, sf_dir))
 
 
 @query("lineup_dim", "SELECT DISTINCT lineup_hash, lineup_id FROM {lineups}")
@@ -197,7 +199,7 @@ def lineup_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT game_id, team_id, quarter, lineup_hash, start_segment, end_segment, start_id, end_id FROM {segments}""")
 def lineup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    return L.lineup_segments(lineup_table(acts), acts).select(
+    return L.lineup_segments(lineup_table(spark, sf_dir), acts).select(
         "game_id", "team_id", "quarter", "lineup_hash", "start_segment", "end_segment",
         "start_id", "end_id",
     )
@@ -206,7 +208,7 @@ def lineup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stints", "SELECT * FROM {stints}")
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    return stint_table(acts, lineup_table(acts))
+    return stint_table(acts, lineup_table(spark, sf_dir))
 
 
 @query("assign_stints", """
@@ -214,7 +216,7 @@ SELECT game_id, id, team_id, final_end_poss, segment_id, lineup_hash_offense, li
   team_id_defense FROM {assigned}""")
 def assign_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    return assigned_table(acts, stint_table(acts, lineup_table(acts))).select(
+    return assigned_table(acts, stint_table(acts, lineup_table(spark, sf_dir))).select(
         "game_id", "id", "team_id", "final_end_poss", "segment_id", "lineup_hash_offense",
         "lineup_hash_defense", "team_id_defense",
     )
@@ -225,7 +227,7 @@ SELECT id, game_id, quarter, type, team_score::BIGINT AS team_score, final_end_p
   type_lineup, team_id, lineup_hash FROM {sided} WHERE game_id NOT IN (5, 11)""")
 def two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    assigned = assigned_table(acts, stint_table(acts, lineup_table(acts)))
+    assigned = assigned_table(acts, stint_table(acts, lineup_table(spark, sf_dir)))
     sided = L.two_sided(assigned, SIDED_KEEP, exclude_games=(5, 11))
     return sided.withColumn("team_score", F.col("team_score").cast("long"))
 
@@ -390,7 +392,7 @@ def dq_repeated_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dq_duplicates", "SELECT game_id, id, count(*) AS n FROM {assigned} GROUP BY ALL HAVING count(*) > 1")
 def dq_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    return B.repeated_ids(assigned_table(acts, stint_table(acts, lineup_table(acts))))
+    return B.repeated_ids(assigned_table(acts, stint_table(acts, lineup_table(spark, sf_dir))))
 
 
 @query("dq_unmatched", """
@@ -399,7 +401,7 @@ WHERE team_id <> 0 AND type <> 'substitution' AND game_id NOT IN (5, 11) AND lin
 GROUP BY game_id""")
 def dq_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     acts = actions(spark, sf_dir)
-    assigned = assigned_table(acts, stint_table(acts, lineup_table(acts)))
+    assigned = assigned_table(acts, stint_table(acts, lineup_table(spark, sf_dir)))
     return L.unmatched_possessions(assigned, exclude_games=(5, 11))
 
 
