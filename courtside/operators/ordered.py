@@ -95,28 +95,30 @@ def _carry(i: int, step: Step, by_key: WindowSpec) -> Column:
     edge = F.col(f"_e{i}")
     along = by_key.orderBy(BUCKET)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    after = along.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back along the reversed order: a frame that grows
+    # costs one step per row, one that shrinks rescans its rest for every row
+    after = by_key.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
     carried = {
         "lag": lambda: F.lag(edge).over(along),
         "lead": lambda: F.lead(edge).over(along),
         "running": lambda: F.sum(edge).over(before),
         "down": lambda: F.last(edge, ignorenulls=True).over(before),
-        "up": lambda: F.first(edge, ignorenulls=True).over(after),
+        "up": lambda: F.last(edge, ignorenulls=True).over(after),
         "total": lambda: getattr(F, step.fn)(edge).over(by_key),
     }[step.kind]()
     return carried.alias(f"_c{i}")
 
 
-def _local(i: int, step: Step, w: WindowSpec) -> Column:
+def _local(i: int, step: Step, w: WindowSpec, reverse: WindowSpec) -> Column:
     value = F.col(f"_v{i}")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = w.rowsBetween(0, Window.unboundedFollowing)
+    onward = reverse.rowsBetween(Window.unboundedPreceding, 0)
     return {
         "lag": lambda: F.lag(value).over(w),
         "lead": lambda: F.lead(value).over(w),
         "running": lambda: F.sum(value).over(upto),
         "down": lambda: F.last(value, ignorenulls=True).over(upto),
-        "up": lambda: F.first(value, ignorenulls=True).over(onward),
+        "up": lambda: F.last(value, ignorenulls=True).over(onward),
     }[step.kind]()
 
 
@@ -158,9 +160,10 @@ def ordered_pass(
     by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     carry = edges.select(*keys, BUCKET, *[_carry(i, s, by_key) for i, s in enumerate(steps.values())])
 
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order_cols)
+    cell = Window.partitionBy(*keys, BUCKET)
+    w, reverse = cell.orderBy(*order_cols), cell.orderBy(*[c.desc() for c in order_cols])
     local = {
-        f"_l{i}": _local(i, s, w) for i, s in enumerate(steps.values()) if s.kind != "total"
+        f"_l{i}": _local(i, s, w, reverse) for i, s in enumerate(steps.values()) if s.kind != "total"
     }
     kinds = {s.kind for s in steps.values()}
     if "lag" in kinds:

@@ -30,17 +30,27 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 def publish(df: DataFrame, name: str, sort_cols: Sequence[str], n: int | None = None) -> None:
     """Replace a table all-or-nothing, physically ordered, with fresh statistics.
 
-    The ordered data is written completely to a staging table first; readers see
-    the old table until the finished one takes its name. Range partitioning on
-    all sort columns keeps a frequent first column from filling one file.
+    The ordered data is written completely to a staging table first; the old
+    table keeps its name until then and is only dropped once the finished one
+    has taken its place. Range partitioning on all sort columns keeps a frequent
+    first column from filling one file.
     """
     spark = df.sparkSession
-    stage_name = f"{name}_stage"
+    stage_name, old_name = f"{name}_stage", f"{name}_old"
     ordered = df.repartitionByRange(*([n] if n else []), *sort_cols).sortWithinPartitions(*sort_cols)
     spark.sql(f"DROP TABLE IF EXISTS {stage_name}")
     ordered.write.format("parquet").saveAsTable(stage_name)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {stage_name} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {old_name}")
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old_name}")
+    try:
+        spark.sql(f"ALTER TABLE {stage_name} RENAME TO {name}")
+    except Exception:
+        if replaced:
+            spark.sql(f"ALTER TABLE {old_name} RENAME TO {name}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old_name}")
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
 
