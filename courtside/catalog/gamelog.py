@@ -72,7 +72,7 @@ def staged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running score per game with a dense row number."""
+    """Running score per game."""
     rows = actions(spark, sf_dir, source=True).selectExpr(
         "game_id", "id", "quarter AS qtr", "type", "end_game_seconds_remaining AS clock",
         "game_id % 3 + 2022 AS season", f"{POINTS} AS pts", "user_id % 2 = 0 AS _visit",
@@ -82,7 +82,6 @@ def score_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "home_score": running(F.expr("if(_visit, 0, pts)")),
             "away_score": running(F.expr("if(_visit, pts, 0)")),
-            "pos": running(F.lit(1)),
         },
     ).drop("_visit")
 
@@ -313,7 +312,7 @@ def scoring_droughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = score_log(spark, sf_dir).withColumns(
         {"total_score": F.col("home_score") + F.col("away_score"), "season_type": F.lit(2)}
     )
-    return G.scoring_droughts(scores).select(
+    return G.scoring_droughts(stage(scores, "scores")).select(
         "game_id", "id", "total_score", "score_diff", "stint_type", "time_no_score", "rank_time"
     )
 

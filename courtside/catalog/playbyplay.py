@@ -350,6 +350,19 @@ def lineup_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.lineup_game_breakdown(game_tables(spark, sf_dir)[1])
 
 
+@query("segment_drilldown", """
+SELECT game_id, team_id, type, sum(team_score)::BIGINT AS total_pts, sum(final_end_poss::INT)::BIGINT AS total_poss
+FROM {assigned} WHERE (game_id, segment_id) IN (SELECT (s.game_id, s.segment_id) FROM {stints} s
+  JOIN (SELECT game_id, min(lineup_hash_offense) AS h FROM {stints} GROUP BY game_id) w ON w.game_id = s.game_id AND w.h = s.lineup_hash_offense)
+GROUP BY ALL""")
+def segment_drilldown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One offensive lineup of every game (the first by hash), its segments."""
+    acts = actions(spark, sf_dir)
+    table = stage(stint_table(acts, lineup_table(spark, sf_dir)), "stints")
+    wanted = table.groupBy("game_id").agg(F.min("lineup_hash_offense").alias("lineup_hash"))
+    return O.segment_drilldown(table, assigned_table(acts, table), wanted)
+
+
 # ---- data quality ----------------------------------------------------------
 
 

@@ -462,6 +462,27 @@ def matchup_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.matchup_height(rows, ["poss", "blk"]), "freq", "blocks_per_poss", "diff_freq")
 
 
+@query("matchup_blocks", """
+WITH p AS (SELECT p_brand AS off_player, s_suppkey AS def_player, count(*) AS total_blocks, sum(l_quantity)::BIGINT AS total_poss
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE (p_size % 25 + 68) - (s_suppkey % 25 + 68) >= 3 AND l_discount > 0.05 GROUP BY ALL HAVING sum(l_quantity) >= 30)
+SELECT off_player, def_player, total_blocks, total_poss, round(r, 6) AS blocks_per_poss, rank_blk FROM (
+  SELECT *, total_blocks::DOUBLE / total_poss AS r, dense_rank() OVER (ORDER BY total_blocks::DOUBLE / total_poss DESC) AS rank_blk FROM p)
+WHERE rank_blk <= 100""")
+def matchup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (
+        read(spark, sf_dir, "lineitem")
+        .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .select(
+            F.col("p_brand").alias("off_player"), F.col("s_suppkey").alias("def_player"),
+            (F.col("p_size") % 25 + 68).alias("height_off"), (F.col("s_suppkey") % 25 + 68).alias("height_def"),
+            F.col("l_quantity").cast("long").alias("poss"), (F.col("l_discount") > 0.05).cast("int").alias("blk"),
+        )
+    )
+    return rounded(P.matchup_blocks(rows), "blocks_per_poss")
+
+
 RATE_SQL = {
     "pts": "pts / poss", "fga": "fga / poss", "teampts": "team_pts / poss", "pct": "fgm / fga", "ast": "ast / poss",
     "tov": "tov / poss", "fta": "fta / poss", "ts": "pts / (2 * (fga + 0.44 * fta))", "ts_att": "2 * (fga + 0.44 * fta) / poss",

@@ -6,13 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.clock import league_year, weekday
 from ..functions.maths import ratio, shot_weight
-from ..operators.ordered import DEFAULT_WIDTH, bucket_of, lag, ordered_pass, with_block
+from ..operators.ordered import (
+    DEFAULT_WIDTH, bucket_of, lag, ordered_pass, running, with_block,
+)
 from ..operators.ranking import exact_quantiles, top_n_ties
 from ..operators.reshape import mirror
-from ..operators.verbs import attach, first_per_key
+from ..operators.verbs import first_per_key
 from ..session import stage
 
 # fixed values: league mean efficiency the comebacks are compared with
@@ -21,10 +24,11 @@ CLUTCH_MARGIN, CLUTCH_MINUTES = (-5, 5), (43, 53)
 
 
 def shares(counts: DataFrame, within: Sequence[str], n: str, out: str) -> DataFrame:
-    """``n`` over its group total. The input is an aggregate of few rows."""
-    return attach(counts, within, _total=F.sum(n)).withColumn(
-        out, ratio(F.col(n), F.col("_total"))
-    ).drop("_total")
+    """``n`` over its group total. The input is an aggregate with one row per
+    shot type in each group, so the window over a group holds a few rows."""
+    return counts.withColumn(
+        out, ratio(F.col(n), F.sum(n).over(Window.partitionBy(*within)))
+    )
 
 
 def weighted_mix(events: DataFrame, groups: Sequence[str], shot: str = "shot_type") -> DataFrame:
@@ -217,8 +221,8 @@ def minute_score_grid(
 ) -> DataFrame:
     """Share of one shot type by minute and margin, cells with enough attempts."""
     mix = weighted_mix(log, ["time_minutes", "adv"])
-    grid = attach(mix, ["time_minutes", "adv"], max_freq=F.max("freq"))
-    return grid.where(
+    cell = Window.partitionBy("time_minutes", "adv")
+    return mix.withColumn("max_freq", F.max("freq").over(cell)).where(
         (F.col("n_1") > min_n)
         & (F.col("shot_type") == shot)
         & (F.col("adv") > -margin)
@@ -265,38 +269,40 @@ def day_part_win_pct(
 def scoring_droughts(
     scores: DataFrame,
     n: int = 100,
+    max_qtr: int = 4,
     period_break: float = 300.0,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Longest stretches without a score change, ties of the n-th kept.
 
-    ``scores``: game_id, season, season_type, id, pos (dense row number in the
-    group), total_score, clock. Two rows of look-back come from block halos;
-    only the start/end rows go on to the second ordered pass.
+    ``scores`` (read twice): game_id, season, season_type, qtr, id, total_score,
+    clock. The change and a dense position come from one ordered pass, the
+    change before it from block halos; only the start and end rows of a stretch
+    go on to the second pass.
     """
     keys = ["game_id", "season", "season_type"]
-    rows, w, keep = with_block(scores, keys, "pos", 2, width)
-    marked = (
-        rows.withColumn("score_diff", F.col("total_score") - F.lag("total_score").over(w))
-        .withColumn("_prev", F.lag("score_diff").over(w))
-        .where(keep)
-        .drop("_block")
-    )
+    numbered = ordered_pass(
+        scores.where(F.col("qtr") <= max_qtr), keys, ["id"], bucket_of("id", width),
+        {"_prev_total": lag("total_score"), "_pos": running(F.lit(1))},
+    ).withColumn("score_diff", F.col("total_score") - F.col("_prev_total"))
+    rows, w, keep = with_block(numbered, keys, "_pos", 1, width)
     diff, prev = F.col("score_diff"), F.col("_prev")
     kind = F.when((diff == 0) & (prev != 0), "start_stint").when(
         (diff != 0) & (prev == 0), "end_stint"
     )
     edges = stage(
-        marked.withColumn("stint_type", kind).where(F.col("stint_type").isNotNull()).drop("_prev"),
+        rows.withColumn("_prev", F.lag("score_diff").over(w))
+        .where(keep)
+        .withColumn("stint_type", kind)
+        .where(F.col("stint_type").isNotNull())
+        .drop("_prev", "_prev_total", "_pos", "_block"),
         "drought_edges",
     )
     timed = ordered_pass(
-        edges, keys, ["pos"], bucket_of("pos", width), {"_prev_clock": lag("clock")}
+        edges, keys, ["id"], bucket_of("id", width), {"_prev_clock": lag("clock")}
     ).withColumn("time_no_score", F.abs(F.col("clock") - F.col("_prev_clock")))
-    real = stage(
-        timed.where(F.col("time_no_score") != period_break).drop("_prev_clock"), "droughts"
-    )
-    return top_n_ties(real, "time_no_score", n, rank_as="rank_time")
+    real = timed.where(F.col("time_no_score") != period_break).drop("_prev_clock")
+    return top_n_ties(stage(real, "droughts"), "time_no_score", n, rank_as="rank_time")
 
 
 # ---- endings ---------------------------------------------------------------

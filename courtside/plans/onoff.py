@@ -189,15 +189,15 @@ def lineup_game_breakdown(sided: DataFrame, lineup_hash: str | None = None) -> D
 
 
 def segment_drilldown(
-    stint_table: DataFrame, assigned: DataFrame, lineup_hash: str, game_id: int
+    stint_table: DataFrame, assigned: DataFrame, wanted: DataFrame
 ) -> DataFrame:
-    """Events of the segments one offensive lineup played in one game, by team."""
+    """Points and possessions by team and event type over the segments that the
+    wanted offensive lineups (lineup_hash, game_id) played."""
     segments = (
-        stint_table.where(
-            (F.col("lineup_hash_offense") == lineup_hash) & (F.col("game_id") == game_id)
-        )
+        stint_table.withColumnRenamed("lineup_hash_offense", "lineup_hash")
+        .join(wanted, ["lineup_hash", "game_id"], "left_semi")
         .select("game_id", "segment_id")
         .distinct()
     )
     rows = assigned.join(segments, ["game_id", "segment_id"], "left_semi")
-    return _sums(rows, ["team_id", "type"])
+    return _sums(rows, ["game_id", "team_id", "type"])

@@ -318,7 +318,9 @@ def allstar_first_time(
 ) -> DataFrame:
     """Selections with the overlay applied and the first selection marked."""
     flagged = overlay_rules(selections, "injury_replacement", rules).distinct()
-    return attach(flagged, ["name"], first_year=F.min("year")).withColumn(
+    # distinct rows of one name: at most a flag and a year each
+    own = Window.partitionBy("name")
+    return flagged.withColumn("first_year", F.min("year").over(own)).withColumn(
         "is_first", F.col("year") == F.col("first_year")
     )
 
@@ -445,17 +447,34 @@ def matchup_height(
         .groupBy("team_id", "year", "type_diff")
         .agg(*[F.sum(c).alias(f"sum_{c}") for c in sums])
     )
-    shared = attach(totals, ["team_id", "year"], _p=F.sum("sum_poss")).withColumns(
+    # three rows (up, same, down) per team and year
+    season = Window.partitionBy("team_id", "year")
+    shared = totals.withColumns(
         {
-            "freq": ratio(F.col("sum_poss"), F.col("_p")),
+            "freq": ratio(F.col("sum_poss"), F.sum("sum_poss").over(season)),
             "blocks_per_poss": ratio(F.col("sum_blk"), F.col("sum_poss")),
         }
-    ).drop("_p")
+    )
     # one row per year: a team's window is as long as its number of seasons
     years = Window.partitionBy("team_id", "type_diff").orderBy("year")
     return shared.withColumn("diff_freq", F.col("freq") - F.lag("freq").over(years))
 
 
+def matchup_blocks(
+    matchups: DataFrame, min_poss: float = 30, step: int = 3, top: int = 100
+) -> DataFrame:
+    """Attacker-defender pairs with a height edge for the attacker and blocked
+    shots: blocks per possession, the best ``top`` rates with their dense rank."""
+    pairs = (
+        matchups.where((F.col("height_off") - F.col("height_def") >= step) & (F.col("blk") > 0))
+        .groupBy("off_player", "def_player")
+        .agg(F.sum("blk").alias("total_blocks"), F.sum("poss").alias("total_poss"))
+        .where(F.col("total_poss") >= min_poss)
+        .withColumn("blocks_per_poss", ratio(F.col("total_blocks"), F.col("total_poss")))
+    )
+    return top_dense(stage(pairs, "matchup_pairs"), "blocks_per_poss", top, "rank_blk")
+
+
 RATES = {
     "pts": ("total_pts", "total_poss"), "fga": ("total_fga", "total_poss"),
     "teampts": ("total_team_pts", "total_poss"), "pct": ("total_fgm", "total_fga"),
@@ -492,24 +511,28 @@ def flag_listed(df: DataFrame, listed: DataFrame, key: str, flag: str) -> DataFr
 
 
 def rolling_form(
-    box: DataFrame, keys: Sequence[str], k: int = 6, width: int = DEFAULT_WIDTH
+    box: DataFrame,
+    keys: Sequence[str],
+    k: int = 6,
+    min_points: float | None = None,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Rolling means against an opponent and the rows with the best rolling rate.
 
-    ``box``: keys, id, points, fga, fgm.
+    ``box``: keys, id, points, fga, fgm and, when wanted, rebounds and assists.
     """
+    stats = [c for c in ("points", "rebounds", "assists", "fga", "fgm") if c in box.columns]
     numbered = ordered_pass(
         box.where(F.col("points").isNotNull()), keys, ["id"], bucket_of("id", width),
         {"pos": running(F.lit(1))},
     )
     rolled = rolling_mean(
-        numbered, keys, "pos",
-        {"roll_mean_points": "points", "roll_mean_fga": "fga", "roll_mean_fgm": "fgm"}, k, width,
+        numbered, keys, "pos", {f"roll_mean_{c}": c for c in stats}, k, width
     ).withColumn("roll_mean_pct", ratio(F.col("roll_mean_fgm"), F.col("roll_mean_fga")))
-    rolled = stage(rolled, "rolling")
-    return attach(rolled, keys, max_pct=F.max("roll_mean_pct")).where(
+    best = attach(stage(rolled, "rolling"), keys, max_pct=F.max("roll_mean_pct")).where(
         F.col("roll_mean_pct") == F.col("max_pct")
     )
+    return best if min_points is None else best.where(F.col("roll_mean_points") >= min_points)
 
 
 def with_without_teammate(box: DataFrame, player: int, teammate: int) -> DataFrame:

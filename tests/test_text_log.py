@@ -82,8 +82,8 @@ def test_droughts(spark):
     totals = [0, 2, 2, 2, 5, 5, 7]
     clocks = [700, 690, 650, 600, 500, 480, 180]
     df = spark.createDataFrame(
-        [(1, 2024, 2, i + 1, i + 1, t, float(c)) for i, (t, c) in enumerate(zip(totals, clocks))],
-        "game_id int, season int, season_type int, id long, pos long, total_score int, clock double")
+        [(1, 2024, 2, 1, i + 1, t, float(c)) for i, (t, c) in enumerate(zip(totals, clocks))],
+        "game_id int, season int, season_type int, qtr int, id long, total_score int, clock double")
     for width in (3, 1000):
         got = rows(G.scoring_droughts(df, width=width), "stint_type", "time_no_score", "rank_time")
         # start at 650, end at 500 (150 s), start at 480 (20 s), end at 180 is the dropped 300 s
