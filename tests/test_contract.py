@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = [
-    "team_ppp", "stints", "on_off_ratings", "clutch_shift", "scoring_droughts", "duo_teams",
+    "team_ppp", "stints", "on_off_table", "clutch_shift", "scoring_droughts", "duo_teams",
     "rank_sum_matrix", "rolling_form", "played_vs_missed", "cells_to_rows", "json_result_sets",
 ]
 
@@ -18,7 +18,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry_runs(spark):
-    assert "ppp_calc" in entry.entry(spark).columns
+    table = entry.entry(spark)
+    assert "total_net_rtg" in table.columns and table.count() > 0
 
 
 @pytest.mark.parametrize("name", SAMPLE)
