@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from courtside.plans import lineups as L
 from courtside.plans import onoff as O
+from courtside.sources.tables import publish_lineups
 
 ROSTER = [(p, 1, 1) for p in (2, 9, 10)] + [(p, 1, 2) for p in (21, 22)]
 # id, team, quarter, clock, player in, player out
@@ -119,3 +120,24 @@ def test_net_columns(spark):
     assert got[(True, "offense")] == (10.0, 14.0)
     assert got[(True, "defense")] == (-4.0, None)
     assert got[(False, "offense")] == (None, None)
+
+
+def test_publish_lineups_and_dimensions(spark, tables):
+    publish_lineups(tables[2])
+    assert spark.table("lineups_lookup").count() == tables[2].count()
+    dim = rows(spark.table("lineup_dim"), "lineup_id")
+    assert ("9_10",) in dim and len(dim) == len(set(dim))
+    members = spark.table("lineup_players").join(spark.table("lineup_dim"), "lineup_hash")
+    assert {r.player_id for r in members.where("lineup_id = '9_10'").collect()} == {9, 10}
+
+
+def test_one_lineup_and_one_player(spark):
+    sided = spark.createDataFrame(
+        [("h1", "offense", 1, 1, 1, 2, True), ("h1", "offense", 1, 1, 2, 3, True), ("h2", "offense", 1, 1, 1, 0, True)],
+        "lineup_hash string, type_lineup string, team_id int, game_id int, quarter int, team_score int, final_end_poss boolean")
+    lineups = spark.createDataFrame(
+        [(5, 1, "h1", True), (6, 1, "h2", True), (5, 1, "h2", False)],
+        "player_id int, team_id int, lineup_hash string, is_on_verdict boolean")
+    assert rows(O.player_on_off(lineups, sided, 5), "is_on", "total_pts", "total_poss", "pts_per_poss") == [
+        (False, 0, 1, 0.0), (True, 5, 2, 250.0)]
+    assert O.lineup_game_breakdown(sided, "h1").count() == 2
