@@ -21,7 +21,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "user_id", "event_type", "value",
         "int(regexp_extract(props, '([0-9]+)', 1)) AS k",
         "hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS sod",
-        "dayofmonth(ts) AS game_id",
+        "datediff(ts, DATE'2023-12-31') AS game_id",
     )
 
 
@@ -29,7 +29,7 @@ cte("ev", """
 SELECT event_id, ts, user_id, event_type, value,
   CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k,
   CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS INTEGER) AS sod,
-  CAST(day(ts) AS INTEGER) AS game_id
+  CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS INTEGER) AS game_id
 FROM events""")
 
 
@@ -135,7 +135,7 @@ FROM {actions} WHERE team_id <> 0""")
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
-        F.dayofmonth("ts").alias("game_id"), F.to_date("ts").alias("game_date")
+        F.date_diff("ts", F.lit("2023-12-31").cast("date")).alias("game_id"), F.to_date("ts").alias("game_date")
     ).distinct()
 
 

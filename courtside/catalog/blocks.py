@@ -9,7 +9,7 @@ from ..functions.maths import ratio, shot_weight
 from ..operators import reshape as R
 from ..operators.joins import overlap_join, range_join
 from ..operators.ordered import bucket_of, lag, lead, ordered_pass, rolling_mean, running
-from ..operators.ranking import top_dense, top_n_ties, with_rank
+from ..operators.ranking import exact_quantiles, top_dense, top_n_ties, with_rank
 from ..operators.verbs import (
     attach, cast_except, first_per_key, keep_groups_where_all, numeric_columns, pick, relocate,
     strip_suffix,
@@ -290,28 +290,29 @@ def unpivot_drop_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpivot_long(spark, sf_dir).where(F.col("value").isNotNull())
 
 
+EVENT_KINDS = ["view", "click", "purchase", "signup", "error"]
+
+
 @query("pivot_wide", """
 SELECT game_id, """ + ", ".join(
     f"count(*) FILTER (WHERE event_type = '{t}') AS {t}_n, sum(k) FILTER (WHERE event_type = '{t}')::BIGINT AS {t}_k"
-    for t in ("view", "click", "purchase")) + " FROM {ev} GROUP BY game_id")
+    for t in EVENT_KINDS) + " FROM {ev} GROUP BY game_id")
 def pivot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["view", "click", "purchase"]
-    wide = R.wider(events(spark, sf_dir), ["game_id"], "event_type", kinds, {"n": F.count(F.lit(1)), "k": F.sum("k")})
-    return wide.fillna(0, subset=[f"{t}_n" for t in kinds])
+    wide = R.wider(events(spark, sf_dir), ["game_id"], "event_type", EVENT_KINDS, {"n": F.count(F.lit(1)), "k": F.sum("k")})
+    return wide.fillna(0, subset=[f"{t}_n" for t in EVENT_KINDS])
 
 
 @query("densify_dates", """
-SELECT u.user_id, d.game_date, n FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT CAST(ts AS DATE) AS game_date FROM events) d
-LEFT JOIN (SELECT user_id, CAST(ts AS DATE) AS game_date, count(*) AS n FROM events GROUP BY ALL) c ON c.user_id = u.user_id AND c.game_date = d.game_date""")
+WITH seen AS (SELECT user_id, CAST(ts AS DATE) AS game_date, count(*) AS n FROM events WHERE day(ts) NOT IN (7, 8, 20) GROUP BY ALL)
+SELECT u.user_id, d.game_date, n FROM (SELECT DISTINCT user_id FROM seen) u, (SELECT DISTINCT game_date FROM seen) d LEFT JOIN seen c ON c.user_id = u.user_id AND c.game_date = d.game_date""")
 def densify_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player x date grid with NULL where absent; dates come from the first and
-    last day, so a player's row is widened in place instead of cross-joined."""
-    ev = read(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("game_date"))
+    """Player x date grid with NULL where absent, over the dates on which there is a game (three days have none).
+
+    The dates are one array (a century has 36,525), onto which each player's row is exploded in place."""
+    ev = read(spark, sf_dir, "events").where(~F.dayofmonth("ts").isin(7, 8, 20)).select("user_id", F.to_date("ts").alias("game_date"))
     seen = ev.groupBy("user_id", "game_date").agg(F.count(F.lit(1)).alias("n"))
-    span = ev.agg(F.min("game_date").alias("a"), F.max("game_date").alias("b"))
-    players = ev.select("user_id").distinct().withColumns(
-        {"_a": span.select("a").scalar(), "_b": span.select("b").scalar()})
-    grid = R.date_spine(players, "_a", "_b", "game_date").drop("_a", "_b")
+    dates = ev.agg(F.collect_set("game_date").alias("dates")).scalar()
+    grid = ev.select("user_id").distinct().select("user_id", F.explode(dates).alias("game_date"))
     return grid.join(seen, ["user_id", "game_date"], "left")
 
 
@@ -347,12 +348,12 @@ def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("players_on_wide", """
 SELECT game_id, quarter, """ + ", ".join(
-    f"coalesce(count(*) FILTER (WHERE player_id = {p}), 0) > 0 AS on_{p}" for p in range(5)) + ", "
-    + " + ".join(f"(coalesce(count(*) FILTER (WHERE player_id = {p}), 0) > 0)::INT" for p in range(5))
+    f"coalesce(count(*) FILTER (WHERE player_id = {p}), 0) > 0 AS on_{p}" for p in range(20)) + ", "
+    + " + ".join(f"(coalesce(count(*) FILTER (WHERE player_id = {p}), 0) > 0)::INT" for p in range(20))
     + " AS row_sum FROM {actions} GROUP BY game_id, quarter")
 def players_on_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide form: missing cells filled, matched columns to booleans, row-wise sum."""
-    wide = actions(spark, sf_dir).groupBy("game_id", "quarter").pivot("player_id", list(range(5))).count().fillna(0)
+    wide = actions(spark, sf_dir).groupBy("game_id", "quarter").pivot("player_id", list(range(20))).count().fillna(0)
     names = pick(wide, r"^\d+$")
     flags = wide.select("game_id", "quarter", *[(F.col(c) > 0).alias(f"on_{c}") for c in names])
     return flags.withColumn("row_sum", sum((F.col(c).cast("int") for c in pick(flags, r"^on_\d+$")), F.lit(0)))
@@ -412,3 +413,47 @@ SELECT c_mktsegment, n, rank() OVER (ORDER BY n) AS place FROM (SELECT c_mktsegm
 def category_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stage(read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")), "segments")
     return with_rank(counts, [], "n", "place", "rank")
+
+
+# ---- NULL keys ---------------------------------------------------------------
+
+NULL_KEYS = "SELECT *, CASE WHEN user_id % 7 <> 0 THEN user_id END AS u, CASE WHEN event_type <> 'click' THEN event_type END AS kind FROM events"
+
+
+def _null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").withColumns({
+        "u": F.when(F.col("user_id") % 7 != 0, F.col("user_id")), "kind": F.when(F.col("event_type") != "click", F.col("event_type"))})
+
+
+@query("lag_lead_null_keys", f"""
+SELECT event_id, u, lag(value) OVER w AS prev, lead(event_id) OVER w AS next, count(*) OVER (w ROWS UNBOUNDED PRECEDING) AS n
+FROM ({NULL_KEYS}) WINDOW w AS (PARTITION BY u ORDER BY event_id)""")
+def lag_lead_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ordered_pass(_null_keys(spark, sf_dir), ["u"], ["event_id"], bucket_of("event_id", 4096), {
+        "prev": lag("value"), "next": lead("event_id"), "n": running(F.lit(1))})
+    return out.select("event_id", "u", "prev", "next", "n")
+
+
+@query("grouped_ranks_null_group", f"""
+SELECT event_id, kind, rank() OVER (PARTITION BY kind ORDER BY value DESC) AS r, dense_rank() OVER (PARTITION BY kind ORDER BY CAST(ts AS DATE) DESC) AS day_r
+FROM ({NULL_KEYS})""")
+def grouped_ranks_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _null_keys(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    ranked = with_rank(rows, ["kind"], "value", "r", "rank", descending=True)
+    return with_rank(ranked, ["kind"], "day", "day_r", "dense", descending=True).select("event_id", "kind", "r", "day_r")
+
+
+@query("quantiles_null_group", f"SELECT kind, quantile_cont(value, 0.25) AS q1, median(value) AS med FROM ({NULL_KEYS}) GROUP BY kind")
+def quantiles_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_quantiles(_null_keys(spark, sf_dir), ["kind"], "value", {"q1": 0.25, "med": 0.5})
+
+
+@query("group_extremes_null_group", f"""
+SELECT event_id, u FROM ({NULL_KEYS}) QUALIFY event_id = max(event_id) OVER (PARTITION BY u)
+UNION ALL SELECT -count(*), NULL FROM ({NULL_KEYS}) WHERE kind IS NULL""")
+def group_extremes_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of every user, and (as a negative count) the rows of the groups that hold clicks alone."""
+    rows = _null_keys(spark, sf_dir)
+    last = attach(rows, ["u"], last=F.max("event_id")).where(F.col("event_id") == F.col("last")).select("event_id", "u")
+    clicks = keep_groups_where_all(rows, ["kind"], F.col("event_type") == "click")
+    return last.unionByName(clicks.agg((-F.count(F.lit(1))).alias("event_id")).withColumn("u", F.lit(None).cast(dict(rows.dtypes)["u"])))

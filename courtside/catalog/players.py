@@ -35,10 +35,9 @@ FROM (SELECT p_name || CAST(p_partkey AS VARCHAR) AS player, p_size, p_retailpri
 
 @query("initials_rate", """
 SELECT initials, total_players, total_above, CAST(CAST(total_above AS DECIMAL(7, 2)) / total_players AS DECIMAL(7, 2)) AS rate
-FROM (SELECT initials, count(DISTINCT player) AS total_players FROM {named} GROUP BY initials) a
-JOIN (SELECT initials, count(DISTINCT player) AS total_above FROM {named}
-  WHERE p_size > 44 OR p_retailprice > 1000 GROUP BY initials) b USING (initials)
-WHERE total_players > 10""")
+FROM (SELECT initials, count(DISTINCT player) AS total_players,
+    count(DISTINCT player) FILTER (WHERE p_size > 44 OR p_retailprice > 1000) AS total_above FROM {named} GROUP BY initials)
+WHERE total_players > 10 AND total_above > 0""")
 def initials_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     seasons = read(spark, sf_dir, "part").withColumn(
         "player", F.concat("p_name", F.col("p_partkey").cast("string"))
@@ -46,16 +45,14 @@ def initials_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.initials_rate(seasons, (F.col("p_size") > 44) | (F.col("p_retailprice") > 1000))
 
 
-TEAM_CODES = ["NOK", "NOP", "NJN", "WSB", "LAL", "TOT"]
+TEAM_CODES = ["NOK", "NOP", "NJN", "WSB", "LALA", "LALB", "TOT"]
 
 
 @query("duo_teams", """
-WITH s AS (SELECT DISTINCT l_suppkey AS player, CASE t WHEN 'NOK' THEN 'NOH' WHEN 'NOP' THEN 'NOH'
-    WHEN 'NJN' THEN 'BRK' WHEN 'WSB' THEN 'WAS' ELSE t END || '1999' || CAST(l_orderkey AS VARCHAR) AS roster
-  FROM (SELECT *, ['NOK', 'NOP', 'NJN', 'WSB', 'LAL', 'TOT'][l_orderkey % 6 + 1] AS t FROM lineitem) WHERE t <> 'TOT')
-SELECT CAST(b.player AS VARCHAR) || ' ' || CAST(a.player AS VARCHAR) AS duo,
-  count(DISTINCT substr(a.roster, 1, 3)) AS dis_teams
-FROM s a JOIN s b ON a.roster = b.roster AND a.player <> b.player GROUP BY ALL""")
+WITH member AS (SELECT DISTINCT l_suppkey AS player, l_orderkey AS squad,
+    ['NOH', 'NOH', 'BRK', 'WAS', 'LALA', 'LALB'][l_orderkey % 7 + 1] AS team FROM lineitem WHERE l_orderkey % 7 < 6),
+mates AS (SELECT DISTINCT x.player AS one, y.player AS other, team FROM member x JOIN member y USING (squad, team) WHERE x.player <> y.player)
+SELECT concat_ws(' ', one, other) AS duo, count(*) AS dis_teams FROM mates GROUP BY one, other""")
 def duo_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("player"),
@@ -176,11 +173,12 @@ BINS_SQL = """CASE WHEN p_size > 0 AND p_size <= 12 THEN '(0,12]' WHEN p_size >
 
 @query("position_mix", f"""
 SELECT cut_bins, pos, count(*) AS n, count(*) / 12.0::DOUBLE AS freq
-FROM (SELECT {BINS_SQL} AS cut_bins, unnest(string_split(p_name, ' ')) AS pos FROM part)
+FROM (SELECT {BINS_SQL} AS cut_bins, unnest(string_split(concat_ws(' ', p_name, p_type, p_brand, p_name, p_type), ' ')) AS pos FROM part)
 WHERE cut_bins IS NOT NULL GROUP BY ALL""")
 def position_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = read(spark, sf_dir, "part").select(
-        F.col("p_size").alias("rank"), F.regexp_replace("p_name", " ", "/").alias("pos")
+        F.col("p_size").alias("rank"),
+        F.replace(F.concat_ws(" ", "p_name", "p_type", "p_brand", "p_name", "p_type"), F.lit(" "), F.lit("/")).alias("pos"),
     )
     return P.position_mix_by_rank_bin(listed, breaks=(0, 12, 24, 36, 48))
 
@@ -625,16 +623,20 @@ def rank_sum_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"z": F.round("z", 5), "p_value": F.round("p_value", 6)})
 
 
-@query("glm_binomial")
+@query("glm_binomial", """
+WITH cell AS (SELECT l_returnflag = 'R' AS a, l_linenumber > 3 AS b, avg(l_quantity / 50.0) AS m FROM lineitem GROUP BY ALL),
+z AS (SELECT max(ln(m / (1 - m))) FILTER (NOT a AND NOT b) AS z00, max(ln(m / (1 - m))) FILTER (a AND NOT b) AS z10,
+  max(ln(m / (1 - m))) FILTER (NOT a AND b) AS z01, max(ln(m / (1 - m))) FILTER (a AND b) AS z11 FROM cell)
+SELECT unnest(['(Intercept)', 'comeback_win', 'late', 'comeback_win:late']) AS term,
+  round(unnest([z00, z10 - z00, z01 - z00, z11 - z10 - z01 + z00]), 3) AS estimate FROM z""")
 def glm_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """freq ~ comeback_win + time * adv on line items."""
+    """freq ~ comeback_win * late on line items: the model is saturated, so its terms are differences of the cells' logits."""
     rows = read(spark, sf_dir, "lineitem").select(
         (F.col("l_quantity") / 50.0).alias("freq"),
         (F.col("l_returnflag") == "R").cast("double").alias("comeback_win"),
-        F.col("l_linenumber").cast("double").alias("time"),
-        (F.col("l_extendedprice") / 10_000.0).alias("adv"),
+        (F.col("l_linenumber") > 3).cast("double").alias("late"),
     )
-    return S.binomial_glm(rows, "freq ~ comeback_win + time + adv + time:adv")
+    return rounded(S.binomial_glm(rows, "freq ~ comeback_win + late + comeback_win:late"), "estimate", digits=3)
 
 
 # ---- dictionaries ----------------------------------------------------------

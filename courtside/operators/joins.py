@@ -73,13 +73,18 @@ def word_join(
 ) -> DataFrame:
     """Rows whose text holds ``word`` as a whole word (case-insensitive).
 
-    The text is cut into words and equi-joined, so neither side is broadcast and
-    no row meets a word it does not contain.
+    The text is cut into words and equi-joined on the first word of ``word``, so
+    neither side is broadcast; where ``word`` has several, the text is asked for
+    all of them in a row.
     """
-    cut = left.select(
-        key, F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"))).alias("_word")
-    ).where(F.col("_word") != "")
-    hits = cut.join(words.withColumn("_word", F.lower(word)), "_word").drop("_word")
+    pieces = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), "")
+    spaced = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    cut = left.select(key, F.explode(F.array_distinct(pieces(F.col(text)))).alias("_word"))
+    names = words.withColumn("_parts", pieces(F.col(word))).withColumn("_word", F.get("_parts", 0))
+    hits = cut.join(names, "_word").drop("_word")
+    texts = left.select(key, spaced(pieces(F.col(text))).alias("_text"))
+    several = hits.where(F.size("_parts") > 1).join(texts, key).where(F.contains("_text", spaced(F.col("_parts"))))
+    hits = hits.where(F.size("_parts") == 1).unionByName(several.drop("_text")).drop("_parts")
     return left.join(hits, key, how)
 
 
@@ -103,13 +108,14 @@ def pattern_join(
     match = F.expr(f"`{text}` rlike `{pattern}`")
     if n_slices == 1:
         return left.join(F.broadcast(patterns), match, how)
-    left = stage(left, "pattern_left")
+    columns = left.columns
+    left = stage(left.withColumn("_row", F.monotonically_increasing_id()), "pattern_left")
     slice_no = F.pmod(F.xxhash64(pattern), F.lit(n_slices))
     inner = None
     for i in range(n_slices):
         part = left.join(F.broadcast(patterns.where(slice_no == i)), match)
         inner = part if inner is None else inner.unionByName(part)
     if how == "inner":
-        return inner
-    rest = left.join(inner.select(*left.columns).distinct(), left.columns, "left_anti")
-    return inner.unionByName(rest, allowMissingColumns=True)
+        return inner.drop("_row")
+    rest = left.join(inner.select("_row").distinct(), "_row", "left_anti").select(*columns)
+    return inner.drop("_row").unionByName(rest, allowMissingColumns=True)

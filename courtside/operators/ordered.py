@@ -9,8 +9,10 @@ one-row-per-bucket summary:
     rows    --exchange on (keys, bucket)--> local window --+
     rows    --partial agg per (keys, bucket)--> carry -----+--> join on (keys, bucket)
 
-The rows are shuffled once (the join reuses the window's partitioning and sort
-order) and a group holding a third of all rows is spread over its buckets.
+The join reuses the window's partitioning and sort order, and a group holding a
+third of all rows is spread over its buckets. Keys are compared as one struct, in
+which NULL equals NULL, so NULL keys form groups like any other. Rows whose
+order value is NULL come first in their group, in a bucket of their own.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 DEFAULT_WIDTH = 65_536
 BUCKET = "_bucket"
+KEY = "_key"
+#: Bucket of the rows without an order value.
+UNORDERED = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -69,6 +75,11 @@ def _col(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def key_of(keys: Sequence[str]) -> Column:
+    """One never-NULL column for a list of keys that may be NULL."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+
+
 def bucket_of(col: str, width: int = DEFAULT_WIDTH) -> Column:
     """Bucket of an integer order key. With a key that is unique inside the
     group, a bucket holds at most ``width`` rows whatever the group's size."""
@@ -142,25 +153,29 @@ def ordered_pass(
     bucket: Column,
     steps: dict[str, Step],
 ) -> DataFrame:
-    """Add one column per step. ``keys`` must be non-null, ``order`` ascending
-    and total inside the group, ``bucket`` non-decreasing along ``order``.
+    """Add one column per step. ``keys`` may be NULL, ``order`` is ascending (NULLs
+    first) and total inside the group, ``bucket`` non-decreasing along ``order``.
 
     ``df`` is read twice (rows and the pruned, pre-aggregated summary), so
     stage an expensive input first.
     """
     keys = list(keys)
     order_cols = [_col(c) for c in order]
-    rank = order_cols[0] if len(order_cols) == 1 else F.struct(*order_cols)
+    if len(order_cols) > 1 or not isinstance(df.select(order_cols[0]).schema[0].dataType, T.NumericType):
+        rank = F.struct(*order_cols)
+    else:
+        rank = F.coalesce(order_cols[0], F.lit(0))  # NULLs have a bucket to themselves
     values = {f"_v{i}": s.col for i, s in enumerate(steps.values())}
-    rows = df.withColumns({BUCKET: bucket, **values})
+    placed = F.coalesce(bucket.cast("long"), F.lit(UNORDERED))
+    rows = df.withColumns({KEY: key_of(keys), BUCKET: placed, **values})
 
-    edges = rows.groupBy(*keys, BUCKET).agg(
+    edges = rows.groupBy(KEY, BUCKET).agg(
         *[agg for i, s in enumerate(steps.values()) for agg in _edge_aggs(i, s, rank)]
     )
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    carry = edges.select(*keys, BUCKET, *[_carry(i, s, by_key) for i, s in enumerate(steps.values())])
+    by_key = Window.partitionBy(KEY)
+    carry = edges.select(KEY, BUCKET, *[_carry(i, s, by_key) for i, s in enumerate(steps.values())])
 
-    cell = Window.partitionBy(*keys, BUCKET)
+    cell = Window.partitionBy(KEY, BUCKET)
     w, reverse = cell.orderBy(*order_cols), cell.orderBy(*[c.desc() for c in order_cols])
     local = {
         f"_l{i}": _local(i, s, w, reverse) for i, s in enumerate(steps.values()) if s.kind != "total"
@@ -170,7 +185,7 @@ def ordered_pass(
         local["_first"] = F.lag(F.lit(1)).over(w).isNull()
     if "lead" in kinds:
         local["_last"] = F.lead(F.lit(1)).over(w).isNull()
-    joined = rows.withColumns(local).join(carry, [*keys, BUCKET])
+    joined = rows.withColumns(local).join(carry, [KEY, BUCKET])
     return joined.select(
         *[F.col(c) for c in df.columns if c not in steps],
         *[_merge(i, s).alias(name) for i, (name, s) in enumerate(steps.items())],

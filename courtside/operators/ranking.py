@@ -8,17 +8,35 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage
-from .ordered import ordered_pass, running, total
+from .ordered import key_of, ordered_pass, running, total
 
-BUCKET_BITS = 10
+#: A bucket is meant to hold about so many distinct values.
+BUCKET_VALUES = 65_536
+MOST_BITS = 14
 
 
-def quantile_buckets(df: DataFrame, col: str, out: str, bits: int = BUCKET_BITS) -> DataFrame:
+def bits_for(n_values: int) -> int:
+    """Buckets, as a power of two, for so many distinct values."""
+    return min(MOST_BITS, max(4, (n_values // BUCKET_VALUES).bit_length()))
+
+
+def as_number(df: DataFrame, col: str) -> Column:
+    """A number that never decreases along ``col``: text by its first seven bytes, times by their seconds."""
+    kind = dict(df.dtypes)[col]
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0")
+        return F.conv(head, 16, 10).cast("long")
+    if kind == "date":
+        return F.unix_date(col)
+    return F.col(col).cast("double") if kind.startswith("timestamp") else F.col(col)
+
+
+def quantile_buckets(df: DataFrame, col: str, out: str, bits: int) -> DataFrame:
     """Add a bucket number non-decreasing in ``col``, cut at approximate quantiles.
 
     Where the cuts fall only affects balance, never results. The cuts are one
@@ -39,28 +57,31 @@ def quantile_buckets(df: DataFrame, col: str, out: str, bits: int = BUCKET_BITS)
 
 def value_ranks(df: DataFrame, keys: Sequence[str], col: str, descending: bool = False) -> DataFrame:
     """Distinct non-null values per group with ``n_rows``, ``rank_min``
-    (competition rank), ``rank_dense`` and ``n_total``."""
-    value = -F.col(col) if descending else F.col(col)
+    (competition rank), ``rank_dense`` and ``n_total``. Any orderable column."""
     counts = stage(
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, col)
         .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("_o", value),
+        .withColumn("_o", as_number(df, col)),
         "value_counts",
     )
     ranked = ordered_pass(
-        quantile_buckets(counts, "_o", "_range"),
+        quantile_buckets(counts, "_o", "_range", bits_for(counts.count())),
         keys,
-        ["_o"],
+        [col],
         F.col("_range"),
-        {"_cum": running("n_rows"), "rank_dense": running(F.lit(1)), "n_total": total("n_rows")},
+        {"_cum": running("n_rows"), "_nth": running(F.lit(1)), "n_total": total("n_rows"), "_n": total(F.lit(1))},
     )
+    if descending:
+        first, nth = F.col("n_total") - F.col("_cum") + 1, F.col("_n") - F.col("_nth") + 1
+    else:
+        first, nth = F.col("_cum") - F.col("n_rows") + 1, F.col("_nth")
     return ranked.select(
         *keys,
         col,
         "n_rows",
-        (F.col("_cum") - F.col("n_rows") + 1).alias("rank_min"),
-        F.col("rank_dense").cast("long").alias("rank_dense"),
+        first.alias("rank_min"),
+        nth.cast("long").alias("rank_dense"),
         "n_total",
     )
 
@@ -82,9 +103,8 @@ def with_rank(
             (F.col("rank_min") - 1) / (F.col("n_total") - 1)
         ),
     }[kind]
-    return df.join(ranks.select(*keys, col, expr.alias(out)), [*keys, col], "left").select(
-        *df.columns, out
-    )
+    found = ranks.select(key_of(keys).alias("_key"), col, expr.alias(out))
+    return df.withColumn("_key", key_of(keys)).join(found, ["_key", col], "left").select(*df.columns, out)
 
 
 def top_n_ties(df: DataFrame, col: str, n: int, rank_as: str | None = None) -> DataFrame:

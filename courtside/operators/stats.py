@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.maths import ratio, two_sided_p
 from ..session import stage
 from .ordered import ordered_pass, running, total
-from .ranking import quantile_buckets
+from .ranking import bits_for, quantile_buckets
 from .reshape import longer
 
 
@@ -36,7 +36,7 @@ def rank_sum_matrix(
         "rank_sum_counts",
     )
     cum = ordered_pass(
-        quantile_buckets(counts, "value", "_range"),
+        quantile_buckets(counts, "value", "_range", bits_for(counts.count())),
         ["metric"],
         ["value"],
         F.col("_range"),

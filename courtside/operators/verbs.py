@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import key_of
+
 
 def snake(name: str) -> str:
     """Column name in lower snake case; a leading digit gets an x."""
@@ -98,12 +100,13 @@ def keep_groups_where_all(df: DataFrame, keys: Sequence[str], condition: Column)
         df.groupBy(*keys)
         .agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("_all"))
         .where("_all")
-        .select(*keys)
+        .select(key_of(keys).alias("_key"))
     )
-    return df.join(good, list(keys), "left_semi")
+    return df.withColumn("_key", key_of(keys)).join(good, "_key", "left_semi").drop("_key")
 
 
 def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Group aggregates on every row: partial aggregation, then an equi-join
     (whose hot keys adaptive execution can split), never a window."""
-    return df.join(df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()]), list(keys))
+    groups = df.groupBy(key_of(keys).alias("_key")).agg(*[a.alias(n) for n, a in aggs.items()])
+    return df.withColumn("_key", key_of(keys)).join(groups, "_key").drop("_key").select(*keys, *(c for c in df.columns if c not in keys), *aggs)

@@ -79,7 +79,7 @@ def duo_teams(seasons: DataFrame, min_year: int = 1990, block: int = 512) -> Dat
     blocks = F.ceil(F.col("_n") / block).cast("int")
     own = F.pmod(F.xxhash64("player"), blocks.cast("long")).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = sized.select("roster", F.substring("roster", 1, 3).alias("team"),
+    left = sized.select("roster", "team",
                         F.col("player").alias("a"), own.alias("_l"), every.alias("_r"))
     right = sized.select("roster", F.col("player").alias("b"), own.alias("_r"), every.alias("_l"))
     pairs = (
@@ -217,8 +217,7 @@ def position_mix_by_rank_bin(
     projections: DataFrame, breaks: Sequence[float] = tuple(range(0, 121, 12)), size: int = 12
 ) -> DataFrame:
     """Positions per rank bin; a player listed at several counts in each."""
-    places = ["pos1", "pos2", "pos3", "pos4"]
-    long = longer(separate(projections, "pos", places, "/"), ["rank"], places, "type", "pos", True)
+    long = projections.select("rank", F.explode(F.split("pos", "/")).alias("pos"))
     return (
         long.withColumn("cut_bins", cut("rank", breaks))
         .where(F.col("cut_bins").isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # fixed values: the markup that is read
 LIST_CELL = r"<li>(?:<a [^>]*>)?([^<]*)(?:</a>)?</li>"
-TABLE_CELL = r"<td[^>]*>(.*?)</td>"
+TABLE_CELL = r"(?s)<td[^>]*>(.*?)</td>"
 LINK = r'href="([^"]*)"'
 
 

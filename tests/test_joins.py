@@ -58,3 +58,18 @@ def test_pattern_join_slices_do_not_change_the_result(spark, limit):
     pats = spark.createDataFrame([("^an",), ("o",), ("k$",)], "p string")
     want = [(1, "^an"), (1, "o"), (2, "k$"), (2, "o"), (3, None), (3, None)]
     assert rows(pattern_join(left, pats, "name", "p", "left", limit), "id", "p") == want
+
+
+def test_pattern_join_agrees_for_any_slice_size(spark):
+    left = spark.createDataFrame([(1, "red car", None), (1, "red car", None), (2, "blue", "x"), (3, None, None)], "id int, text string, z string")
+    patterns = spark.createDataFrame([("r.d",), ("car$",), ("green",)], "pattern string")
+    whole = rows(pattern_join(left, patterns, "text", "pattern"), "id", "text", "z", "pattern")
+    assert len(whole) == 6
+    for n in (1, 2):
+        assert rows(pattern_join(left, patterns, "text", "pattern", max_patterns=n), "id", "text", "z", "pattern") == whole
+
+
+def test_word_join_finds_names_of_several_words(spark):
+    left = spark.createDataFrame([(1, "Portland Trail Blazers"), (2, "blazers trail"), (3, "the trail"), (4, None)], "id int, text string")
+    names = spark.createDataFrame([("trail blazers", "POR"), ("trail", "T")], "word string, code string")
+    assert rows(word_join(left, names, "text", "word", "id"), "id", "code") == [(1, "POR"), (1, "T"), (2, "T"), (3, "T"), (4, None)]

@@ -76,3 +76,9 @@ def test_no_window_spans_a_whole_group(log):
         log, ["g"], ["id"], bucket_of("id", 10), {"p": lag("v")}
     )._jdf.queryExecution().optimizedPlan().toString()
     assert "CartesianProduct" not in plan and "_bucket" in plan
+
+
+def test_null_keys_and_null_order_values_keep_their_rows(spark):
+    frame = spark.createDataFrame([("a", 1, 10), (None, 1, 20), (None, 2, 30), ("a", None, 40), (None, None, 50)], "k string, t int, v int")
+    got = rows(ordered_pass(frame, ["k"], ["t"], bucket_of("t", 1), {"prev": lag("v"), "sum": running("v")}), "k", "t", "v", "prev", "sum")
+    assert got == [("a", 1, 10, 40, 50), ("a", None, 40, None, 40), (None, 1, 20, 50, 70), (None, 2, 30, 20, 100), (None, None, 50, None, 50)]

@@ -55,3 +55,10 @@ def test_top_n_keeps_all_ties(spark):
     df = spark.createDataFrame([(i, [9, 8, 8, 8, 5, 1][i]) for i in range(6)], "id int, x int")
     assert rows(top_n_ties(df, "x", 2, "rk")) == [(0, 9, 1), (1, 8, 2), (2, 8, 2), (3, 8, 2)]
     assert [r[0] for r in rows(top_dense(df, "x", 3, "rk"))] == [0, 1, 2, 3, 4]
+
+
+def test_null_groups_and_descending_text(spark):
+    frame = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), (None, "z", 3.0), (None, "zz", 5.0), (None, None, None)], "k string, s string, v double")
+    got = with_rank(frame, ["k"], "s", "r", "dense", descending=True)
+    assert rows(got, "k", "s", "r") == [("a", "x", 2), ("a", "y", 1), (None, "z", 2), (None, "zz", 1), (None, None, None)]
+    assert rows(exact_quantiles(frame, ["k"], "v", {"m": 0.5})) == [("a", 1.5), (None, 4.0)]
