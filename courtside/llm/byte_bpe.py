@@ -4,131 +4,147 @@ A pre-token's bytes form a linked list. For every neighbouring pair that is a to
 pair's rank has a bucket that holds the left positions. Which ranks have a bucket is
 kept in bitmaps of two levels, so the next rank to merge is a find-first-set on each
 level. Entries are not removed when a merge changes their pair; they are recognised
-as stale when they come up. A pre-token of n bytes takes O(n log n) steps at most.
+as stale when they come up. A pre-token of n bytes takes O(n log n) steps at most. The new pre-tokens
+of a group of texts share one queue, so the cost of finding a rank is shared too.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
+from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import accumulate
 
-import numpy as np
 import regex
 
-_LEAF = 9  # a leaf of the bitmap covers 512 ranks
-
-
-class RankQueue:
-    """Positions by rank; pops the smallest position of the smallest rank."""
-
-    __slots__ = ("buckets", "leaves", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.leaves: dict[int, int] = {}
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        leaf = rank >> _LEAF
-        self.leaves[leaf] = self.leaves.get(leaf, 0) | 1 << (rank & 511)
-        self.top |= 1 << leaf
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        leaf = (self.top & -self.top).bit_length() - 1
-        bits = self.leaves[leaf]
-        rank = leaf << _LEAF | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            bits &= bits - 1
-            self.leaves[leaf] = bits
-            if not bits:
-                self.top &= self.top - 1
-        return rank, position
+_LEAF = 8  # a leaf of the bitmap covers 256 ranks
+_PLACE = (1 << _LEAF) - 1
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: the pair of lowest rank merges first, the leftmost of equal ones."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, get = len(piece), ranks.get
-    end = list(range(1, n + 1))  # of the part that begins here; 0 once it is merged away
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+    """Token ids of pre-tokens: the pair of lowest rank merges first, the leftmost of equal ones.
+
+    All pre-tokens share one linked list and one queue, which no pair across a border ever enters, so a rank that is due
+    takes its bucket's positions in one go, and goes on later if a merge brings up a smaller rank.
+    """
+    text, starts = b"".join(pieces), list(accumulate(map(len, pieces), initial=0))
+    n, get = len(text), ranks.get
+    border = bytearray(n + 1)
+    end = list(range(1, n + 1))  # of the part that begins here
     before = list(range(-1, n))  # begin of the part to the left
-    pending = [-1] * n  # rank of the pair that begins here, -1 if none
-    queue = RankQueue()
-    push, pop = queue.push, queue.pop
-    for i in range(n - 1):
-        rank = get(piece[i:i + 2])
+    pending = [get(text[i:i + 2]) for i in range(n)]  # rank of the pair that begins here, None if there is none
+    for at in starts:
+        border[at] = 1
+        if at:
+            pending[at - 1] = None
+    buckets: defaultdict[int, list[int]] = defaultdict(list)  # a heap of positions by rank
+    for i, rank in enumerate(pending):
         if rank is not None:
-            pending[i] = rank
-            push(rank, i)
-    while (entry := pop()) is not None:
-        rank, i = entry
-        if pending[i] != rank:
-            continue  # stale
-        j = end[i]
-        stop = end[i] = end[j]
-        pending[j] = -1
-        end[j] = 0
-        if stop < n:
-            before[stop] = i
-            right = get(piece[i:end[stop]])
-        else:
-            right = None
-        pending[i] = -1 if right is None else right
-        if right is not None:
-            push(right, i)
-        left = before[i]
-        if left >= 0:
-            joined = get(piece[left:stop])
-            if joined is None:
-                pending[left] = -1
-            elif pending[left] != joined:
-                pending[left] = joined
-                push(joined, left)
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = end[i]
+            buckets[rank].append(i)
+    leaves, top = [0] * ((max(ranks.values(), default=0) >> _LEAF) + 1), 0
+    for rank in buckets:
+        leaves[rank >> _LEAF] |= 1 << (rank & _PLACE)
+        top |= 1 << (rank >> _LEAF)
+    while top:
+        leaf = (top & -top).bit_length() - 1
+        bits = leaves[leaf]
+        due = leaf << _LEAF | (bits & -bits).bit_length() - 1
+        bucket, least = buckets[due], due
+        while bucket and least == due:
+            i = heappop(bucket)
+            if pending[i] != due:
+                continue  # stale
+            j = end[i]
+            stop = end[i] = end[j]
+            pending[j] = None
+            if border[stop]:
+                pending[i] = None
+            else:
+                before[stop] = i
+                rank = pending[i] = get(text[i:end[stop]])
+                if rank is not None:
+                    if not buckets[rank]:
+                        leaves[rank >> _LEAF] |= 1 << (rank & _PLACE)
+                        top |= 1 << (rank >> _LEAF)
+                    heappush(buckets[rank], i)
+                    if rank < least:
+                        least = rank
+            if not border[i]:
+                left = before[i]
+                rank = get(text[left:stop])
+                if rank != pending[left]:
+                    pending[left] = rank
+                    if rank is not None:
+                        if not buckets[rank]:
+                            leaves[rank >> _LEAF] |= 1 << (rank & _PLACE)
+                            top |= 1 << (rank >> _LEAF)
+                        heappush(buckets[rank], left)
+                        if rank < least:
+                            least = rank
+        if not bucket:
+            leaves[leaf] &= ~(1 << (due & _PLACE))
+            if not leaves[leaf]:
+                top &= ~(1 << leaf)
+    out = []
+    for piece, i, stop in zip(pieces, starts, starts[1:]):
+        whole = get(piece)  # a pre-token that is a token stays whole
+        ids = [] if whole is None else [whole]
+        while whole is None and i < stop:
+            ids.append(ranks[text[i:end[i]]])
+            i = end[i]
+        out.append(ids)
     return out
 
 
-class _Pieces(dict):
-    """Packed ids of pre-tokens seen before, up to a bound on their number."""
-
-    MOST = 400_000
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
-        if len(self) < self.MOST and len(piece) <= 64:
-            self[piece] = packed
-        return packed
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token."""
+    return merge_all([piece], ranks)[0]
 
 
 class Codec:
     """Encodes whole texts by a pattern and byte ranks; decodes ids."""
 
+    #: Pre-tokens that are remembered, and up to which length.
+    MOST, LONGEST = 800_000, 64
+    #: Texts of about so many characters share a queue.
+    TOGETHER = 400_000
+
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {i: b for b, i in ranks.items()}
-        self.pieces = _Pieces(ranks)
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= self.TOGETHER:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        known, found = self.known, [self.find(t) for t in texts]
+        new = [p for p in set().union(*found) if p not in known]
+        room = self.MOST - len(known)
+        known.update(zip(new, (struct.pack(f"<{len(ids)}I", *ids) for ids in merge_all([p.encode() for p in new], self.ranks))))
+        out = [b"".join(map(known.__getitem__, f)) for f in found]
+        keep = 0
+        for p in new:
+            if len(p) <= self.LONGEST and keep < room:
+                keep += 1
+            else:
+                del known[p]
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -22,7 +22,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_column: str = "t
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         code = codec(path, pattern)
-        ids = [code.encode(t) for t in texts_of(batch, text_column)]
+        ids = code.encode_all(texts_of(batch, text_column))
         columns = [*(batch.column(c) for c in rest), pa.array(ids, pa.binary())]
         if decode:
             columns.append(pa.array([code.decode(np.frombuffer(i, "<u4").tolist()) for i in ids], pa.binary()))
