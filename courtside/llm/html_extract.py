@@ -345,9 +345,16 @@ def main_text(blocks: list[Block], probability: np.ndarray) -> str:
 
 
 def training_pages(pages: DataFrame, most: int, longest: int = 20_000) -> list[str]:
-    """At most ``most`` pages of at most ``longest`` characters, those with the smallest hashes."""
-    some = pages.where(F.length("html") <= longest).select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(most)
-    return [r.html for r in some.collect()]
+    """At most ``most`` different pages of at most ``longest`` characters, those with the smallest hashes.
+
+    The hashes are chosen first, so that no task sends pages to the driver that are not among the chosen.
+    """
+    some = pages.where(F.length("html") <= longest).select("html", F.xxhash64("html").alias("h"))
+    least = [r.h for r in some.select("h").distinct().orderBy("h").limit(most).collect()]
+    if not least:
+        return []
+    chosen = some.where(F.col("h").isin(least)).groupBy("h").agg(F.min("html").alias("html"))
+    return [r.html for r in sorted(chosen.collect(), key=lambda r: r.h)]
 
 
 def extract(pages: DataFrame, sampled: int = 100, seed: int = 5) -> DataFrame:
