@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ from ..operators.verbs import (
 )
 from ..plans.games import shares
 from ..plans.players import overlay_rules
-from ..session import stage
+from ..schemas import ACTIONS
+from ..session import checkpoint_root, stage
+from ..sources.tables import read_seasons, read_sheet, write_csv, write_seasons
 from .adapters import actions, events, games, read
 from .registry import query
 
@@ -148,6 +152,16 @@ def top_n_ties_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_ties(lines, "l_quantity", 10, rank_as="rank_q")
 
 
+@query("top_n_counts", """
+WITH per AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey),
+ladder AS (SELECT n, dense_rank() OVER (ORDER BY n DESC) AS rank_n, sum(count(*)) OVER (ORDER BY n DESC) AS reached, count(*) AS own FROM per GROUP BY n)
+SELECT o_custkey, n, rank_n FROM per JOIN ladder USING (n) WHERE reached - own < 10""")
+def top_n_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten customers with most orders and whoever ties with the tenth."""
+    per = stage(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")), "orders_per_customer")
+    return top_n_ties(per, "n", 10, rank_as="rank_n")
+
+
 @query("top_bottom_dense", """
 SELECT l_suppkey, total, rk, side FROM (
   SELECT *, dense_rank() OVER (ORDER BY total DESC) AS rk, 'top' AS side FROM (SELECT l_suppkey, sum(l_quantity)::BIGINT AS total FROM lineitem GROUP BY ALL)
@@ -457,3 +471,37 @@ def group_extremes_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = attach(rows, ["u"], last=F.max("event_id")).where(F.col("event_id") == F.col("last")).select("event_id", "u")
     clicks = keep_groups_where_all(rows, ["kind"], F.col("event_type") == "click")
     return last.unionByName(clicks.agg((-F.count(F.lit(1))).alias("event_id")).withColumn("u", F.lit(None).cast(dict(rows.dtypes)["u"])))
+
+
+# ---- readers and sinks -------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/courtside/{name}-{uuid.uuid4().hex}"
+
+
+@query("season_partitions", """
+SELECT o_orderkey, o_totalprice, 1985 + o_orderkey % 37 AS season FROM orders WHERE 1985 + o_orderkey % 37 BETWEEN 1990 AND 2021""")
+def season_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by season, read back by a range of seasons (other folders are not listed)."""
+    path = _folder(spark, "seasons")
+    write_seasons(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 37 + 1985).alias("season")), path)
+    return read_seasons(spark, path, 1990, 2021).withColumn("season", F.col("season").cast("long"))
+
+
+@query("csv_roundtrip", "SELECT p_partkey, p_name, nullif(p_type, 'SMALL') AS kind, p_retailprice FROM part")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", F.nullif("p_type", F.lit("SMALL")).alias("kind"), "p_retailprice")
+    path = _folder(spark, "csv")
+    write_csv(part, path, ["p_name", "p_partkey"])
+    return read_sheet(spark, path, part.schema)
+
+
+@query("declared_schema", """
+SELECT id, game_id, quarter, type, parameters_points, CAST(NULL AS INTEGER) AS parameters_coord_x, CAST(NULL AS VARCHAR) AS score FROM {actions}""")
+def declared_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The action table read by its 35 declared columns; those the files lack are NULL."""
+    path = _folder(spark, "actions")
+    actions(spark, sf_dir).withColumn("user_time", F.col("user_time").cast("timestamp")).write.parquet(path)
+    return spark.read.schema(ACTIONS).parquet(path).select(
+        "id", "game_id", "quarter", "type", "parameters_points", "parameters_coord_x", "score")

@@ -14,7 +14,7 @@ from .adapters import SUB_EVENTS, actions, rosters, schedule
 from .registry import cte, query
 
 SIDED_KEEP = ["id", "game_id", "quarter", "type", "team_score", "final_end_poss", "segment_id"]
-WANTED_TEAMS = ["Team 1", "Team 2"]
+WANTED_TEAMS = ["Team 1"]
 DATES = ("2024-01-03", "2024-01-27")
 ONE_PLAYER = 7
 
@@ -287,18 +287,26 @@ GROUP BY player_id, team_id
 HAVING min(total_poss) >= 3 AND max(CASE WHEN is_on_verdict THEN total_poss ELSE 0 END) >= 5""")
 
 
-def _table(spark: SparkSession, sf_dir: str, min_net: float | None) -> DataFrame:
-    lineups, sided, roster = game_tables(spark, sf_dir)
-    return O.on_off_table(
-        lineups, sided, roster, schedule(spark, sf_dir), DATES, WANTED_TEAMS, 3, 5, min_net
-    )
+def _table(spark: SparkSession, sf_dir: str, min_net: float | None, teams: list[str] | None) -> DataFrame:
+    """Possessions and stints are built for the wanted games alone (whole games, by a time range that reaches
+    the scan); which lineups a player belongs to is asked of all games."""
+    acts, games = actions(spark, sf_dir), schedule(spark, sf_dir)
+    roster = stage(rosters(acts), "full_rosters")
+    lineups = lineup_table(spark, sf_dir, roster)
+    first, after = (F.to_date(F.lit(DATES[0])), F.date_add(F.to_date(F.lit(DATES[1])), 1))
+    kind = dict(acts.dtypes)["user_time"]
+    played = acts.where((F.col("user_time") >= first.cast(kind)) & (F.col("user_time") < after.cast(kind)))
+    wanted = games.where((F.col("game_date") >= first) & (F.col("game_date") < after))
+    segments = stint_table(played, lineups.join(wanted, "game_id", "left_semi"))
+    sided = L.two_sided(assigned_table(played, segments), SIDED_KEEP)
+    return O.on_off_table(lineups, sided, roster, games, DATES, teams, 3, 5, min_net)
 
 
 @query("on_off_table", """
 SELECT w.*, team_name, first_name, last_name FROM {onoff_wide} w JOIN {names} USING (player_id, team_id)
-WHERE total_net_rtg >= -50""")
+WHERE total_net_rtg >= -50 AND team_name = 'Team 1'""")
 def on_off_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, -50.0)
+    return _table(spark, sf_dir, -50.0, WANTED_TEAMS)
 
 
 @query("on_off_percentiles", """
@@ -309,7 +317,7 @@ SELECT player_id, team_id, total_net_rtg,
     for m in [*O.HIGHER_BETTER, *O.LOWER_BETTER]
 ) + "\nFROM {onoff_wide}")
 def on_off_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = O.on_off_display(stage(_table(spark, sf_dir, None), "on_off_table"))
+    shown = O.on_off_display(stage(_table(spark, sf_dir, None, None), "on_off_table"))
     return shown.select(
         "player_id", "team_id", "total_net_rtg",
         *[F.round(f"pct_{m}", 6).alias(f"pct_{m}") for m in [*O.HIGHER_BETTER, *O.LOWER_BETTER]],
@@ -385,6 +393,35 @@ def dq_parent_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.child_before_parent(actions(spark, sf_dir)).where("time_diff > 0")
 
 
+cte("dirty", """
+SELECT * REPLACE (end_game_seconds_remaining + CASE WHEN id % 97 = 0 THEN 500 ELSE 0 END AS end_game_seconds_remaining)
+FROM {actions}""")
+
+
+def dirty_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with clocks that run ahead, so that the checks have something to find."""
+    ahead = F.when(F.col("id") % 97 == 0, 500).otherwise(0)
+    return actions(spark, sf_dir).withColumn("end_game_seconds_remaining", F.col("end_game_seconds_remaining") + ahead)
+
+
+@query("dq_clock_dirty", """
+SELECT * FROM (SELECT game_id, id, quarter, type, end_game_seconds_remaining,
+    lag(end_game_seconds_remaining) OVER w AS prev_clock,
+    end_game_seconds_remaining - lag(end_game_seconds_remaining) OVER w AS how_bigger
+  FROM {dirty} WINDOW w AS (PARTITION BY game_id ORDER BY id)) WHERE how_bigger > 0""")
+def dq_clock_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.clock_increases(dirty_actions(spark, sf_dir))
+
+
+@query("dq_parent_order_dirty", """
+SELECT c.game_id, c.id, c.parent_action_id, c.end_game_seconds_remaining, p.end_game_seconds_remaining AS parent_clock,
+  c.end_game_seconds_remaining - p.end_game_seconds_remaining AS time_diff
+FROM {dirty} c, {dirty} p WHERE c.parent_action_id <> 0 AND p.game_id = c.game_id AND p.id = c.parent_action_id
+  AND c.end_game_seconds_remaining > p.end_game_seconds_remaining""")
+def dq_parent_order_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.child_before_parent(dirty_actions(spark, sf_dir)).where("time_diff > 0")
+
+
 @query("parent_child", """
 SELECT a.game_id, a.id, a.parent_action_id, a.end_game_seconds_remaining,
   p.end_game_seconds_remaining AS parent_clock,
@@ -408,6 +445,18 @@ def dq_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.repeated_ids(assigned_table(acts, stint_table(acts, lineup_table(spark, sf_dir))))
 
 
+@query("dq_duplicates_dirty", """
+SELECT p.game_id, p.id, count(*) AS n FROM {poss} p
+JOIN (SELECT * FROM {stints} UNION ALL SELECT * FROM {stints} WHERE segment_id % 5 = 0) s ON p.team_id = s.team_id
+  AND p.game_id = s.game_id AND p.q_bucket = s.q_bucket AND p.id >= s.final_start_id AND p.id < s.final_end_id
+GROUP BY p.game_id, p.id HAVING count(*) > 1""")
+def dq_duplicates_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth stint of a game is listed twice, which multiplies its events."""
+    acts = actions(spark, sf_dir)
+    table = stage(stint_table(acts, lineup_table(spark, sf_dir)), "stints")
+    return B.repeated_ids(assigned_table(acts, table.unionByName(table.where("segment_id % 5 = 0"))))
+
+
 @query("dq_unmatched", """
 SELECT game_id, count(*) AS n FROM {assigned}
 WHERE team_id <> 0 AND type <> 'substitution' AND game_id NOT IN (5, 11) AND lineup_hash_defense IS NULL
