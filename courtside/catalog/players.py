@@ -12,7 +12,7 @@ from ..operators.reshape import cut, longer
 from ..plans import players as P
 from ..session import stage
 from .adapters import events, read
-from .registry import cte, query
+from .registry import ORACLES, cte, query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
@@ -623,6 +623,15 @@ def rank_sum_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"z": F.round("z", 5), "p_value": F.round("p_value", 6)})
 
 
+@query("rank_sum_holm", f"""
+SELECT metric, group_1, group_2, round(max(step) OVER (PARTITION BY metric ORDER BY p_value, group_1, group_2 ROWS UNBOUNDED PRECEDING), 6) AS p_holm
+FROM (SELECT *, least(1, (count(*) OVER (PARTITION BY metric) + 1 - row_number() OVER (PARTITION BY metric ORDER BY p_value, group_1, group_2)) * p_value) AS step
+  FROM ({ORACLES["rank_sum_matrix"]}))""")
+def rank_sum_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.with_holm(rank_sum_matrix(spark, sf_dir), ["metric"])
+    return out.select("metric", "group_1", "group_2", F.round("p_holm", 6).alias("p_holm"))
+
+
 @query("glm_binomial", """
 WITH cell AS (SELECT l_returnflag = 'R' AS a, l_linenumber > 3 AS b, avg(l_quantity / 50.0) AS m FROM lineitem GROUP BY ALL),
 z AS (SELECT max(ln(m / (1 - m))) FILTER (NOT a AND NOT b) AS z00, max(ln(m / (1 - m))) FILTER (a AND NOT b) AS z10,

@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.maths import ratio, two_sided_p
 from ..session import stage
@@ -24,7 +25,7 @@ def rank_sum_matrix(
     pair is sum over v of c1(v) * (C2(v) + c2(v) / 2): running counts over the
     distinct values replace pooled ranks, so all pairs come out of one ordered
     pass and no group is ever joined with another. Normal form with tie and
-    continuity correction; ``p_value`` is not adjusted.
+    continuity correction; ``p_value`` is not adjusted (see :func:`with_holm`).
     """
     names = [f"g{i}" for i in range(len(groups))]
     long = longer(df.select(group, *[F.col(c).cast("double").alias(c) for c in cols]),
@@ -85,6 +86,19 @@ def rank_sum_matrix(
     )
 
 
+def with_holm(tests: DataFrame, family: Sequence[str], out: str = "p_holm") -> DataFrame:
+    """Step-down adjusted p-values of ``p_value`` within each family of tests.
+
+    A family has one row per pair of groups, so a window holds few rows. Tests
+    without a p-value keep none and do not count.
+    """
+    p, rows = F.col("p_value"), Window.partitionBy(*family)
+    along = rows.orderBy(p.asc_nulls_last())
+    step = F.least(F.lit(1.0), (F.count(p).over(rows) - F.row_number().over(along) + 1) * p)
+    adjusted = F.max("_step").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    return tests.withColumn("_step", step).withColumn(out, F.when(p.isNotNull(), adjusted)).drop("_step")
+
+
 def regression_lines(df: DataFrame, keys: Sequence[str], y: str, x: str) -> DataFrame:
     """Least-squares line per group with r2, slope standard error and count.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions import text as X
 from courtside.functions.clock import league_year, season_label, start_minutes
-from courtside.operators.stats import binomial_glm, rank_sum_matrix, regression_lines
+from courtside.operators.stats import binomial_glm, rank_sum_matrix, regression_lines, with_holm
 from courtside.plans import players as P
 
 
@@ -57,6 +57,14 @@ def test_rank_sum_against_pooled_ranks(spark):
         assert r.p_value == pytest.approx(2 * (1 - NormalDist().cdf(abs(z))), abs=2e-7)
 
 
+def test_holm_with_ties_and_nulls(spark):
+    data = [("x", "a", 0.01), ("x", "b", 0.04), ("x", "c", 0.03), ("x", "d", 0.03), ("x", "e", None), ("y", "a", 0.7), ("y", "b", 0.6)]
+    got = {(r.m, r.t): r.p_holm for r in with_holm(spark.createDataFrame(data, "m string, t string, p_value double"), ["m"]).collect()}
+    want = {"a": 0.04, "b": 0.09, "c": 0.09, "d": 0.09}
+    assert {t: pytest.approx(p) for t, p in want.items()} == {t: got["x", t] for t in want}
+    assert got["x", "e"] is None and got["y", "a"] == got["y", "b"] == 1.0
+
+
 def test_regression_line(spark):
     df = spark.createDataFrame([("a", float(x), 3.0 * x + 1) for x in range(5)], "g string, x double, y double")
     r = regression_lines(df, ["g"], "y", "x").first()
