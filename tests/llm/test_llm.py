@@ -441,6 +441,16 @@ def test_html_labeller_on_unseen_pages(spark):
     assert right / total > 0.97
 
 
+def test_training_pages_are_different_and_short(spark):
+    rows = [("<p>copy</p>",)] * 50 + [(f"<p>page {i}</p>",) for i in range(30)] + [(None,), ("",), ("x" * 30_000,)]
+    frame = spark.createDataFrame(rows, "html string").repartition(6)
+    got = html_extract.training_pages(frame, 20)
+    assert len(got) == len(set(got)) == 20 and max(map(len, got)) <= 20_000
+    assert got == html_extract.training_pages(frame.repartition(2), 20)
+    assert set(html_extract.training_pages(frame, 100)) == {"<p>copy</p>", "", *(f"<p>page {i}</p>" for i in range(30))}
+    assert html_extract.training_pages(frame.limit(0), 20) == []
+
+
 def test_html_extract(spark):
     rows = [(1, "u", "<body><nav><a href=/>menu</a></nav><article><h1>A &amp; B</h1><p>one\n two&nbsp;x<p>three</article><footer>f</footer>", 1),
             (2, None, None, 1), (3, "u", "", 1), (3, "u", "", 1), (None, "u", "<article><p>" + "very long " * 50_000 + "</p><p>end</p></article>", 1)]
