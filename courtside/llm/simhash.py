@@ -95,9 +95,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return with_components(table, id_column, joined_at_most)
 
 
-def with_components(table: DataFrame, id_column: str, joined_at_most: int = JOINED_AT_MOST) -> DataFrame:
+def with_components(table: DataFrame, id_column: str, joined_at_most: int = JOINED_AT_MOST, edges: DataFrame | None = None) -> DataFrame:
+    """``table`` with ``component_id``; ``edges`` (a, b) between values of ``f`` take the place of :func:`links`."""
     prints = stage(table.groupBy("f").agg(F.min(id_column).alias("first_id")), "prints")
-    roots = components(links(prints.select("f"), joined_at_most)).withColumnRenamed("node", "f")
+    roots = components(links(prints.select("f"), joined_at_most) if edges is None else edges).withColumnRenamed("node", "f")
     placed = prints.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
     lowest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = placed.select("f", "root").join(lowest, "root").select("f", "component_id")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from courtside.llm import (
-    byte_bpe, byte_bpe_spark, chat_format, class_lm, components, html_extract, mixing, quality_rules, secret_scan, simhash, token_counts, topk,
+    byte_bpe, byte_bpe_spark, chat_format, class_lm, components, html_extract, mixing, near_copies, quality_rules, secret_scan, simhash, token_counts, topk,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, copies string, row string"
@@ -155,6 +155,47 @@ def test_simhash_awkward(awkward, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("joined_at_most", [64, 2])
+def test_near_copies_equal_brute_force(spark, joined_at_most):
+    rng, texts = random.Random(5), []
+    for group in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(6, 150))]
+        if group % 3 == 0:  # one passage that many texts hold
+            base[:0] = [f"common{i}" for i in range(40)]
+        for _ in range(rng.randrange(2, 12)):
+            text = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                text[rng.randrange(len(text))] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(text))
+    texts += ["", " ", None, "one two", "ONE two"]
+    sets = [set(zip(*(words_of(t.lower())[i:] for i in range(5)))) or {tuple(words_of(t.lower()))} if t else {()} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = near_copies.shingle_sets(frame, "doc_id", "text")
+    placed = simhash.with_components(table.select("doc_id", "f"), "doc_id", edges=near_copies.links(table, joined_at_most))
+    assert {r.doc_id: r.component_id for r in placed.collect()} == dict(enumerate(root))
+    assert len(set(root)) < len(texts) - 20
+
+
+def test_pipeline_drops_near_copies_beyond_two_bits(spark):
+    import corpus_pipeline as P
+
+    base = [f"word{i}" for i in range(200)]
+    near, far = list(base), list(base)
+    for i in (20, 90, 160):
+        near[i] = "changed"
+    for i in range(5, 200, 10):
+        far[i] = "changed"
+    rows = [(i, " ".join(t), "en", "a", 1, 1, "x", "r") for i, t in enumerate((base, near, far))]
+    assert (simhash.fingerprint(rows[0][1]) ^ simhash.fingerprint(rows[1][1])).bit_count() > 2
+    assert sorted(r.doc_id for r in P.near_dedup_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()) == [0, 2]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id + 1 as a", "id as b").union(spark.createDataFrame([(900, 901), (None, 3)], "a long, b long"))
     got = {r.node: r.root for r in components.components(edges).collect()}
