@@ -29,6 +29,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("""address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
  h5 h6 header hr html legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul""".split())
 UNSEEN = set("head script style noscript template title svg iframe object".split())
+#: What may stand in a head; anything else ends it, with or without its end tag.
+IN_HEAD = set("html head title base link meta script style noscript template basefont bgsound noframes".split())
 NEVER = UNSEEN | set("nav footer aside form select button textarea".split())
 
 PATH, WORDS, COUNTS = 128, 32, 6
@@ -61,7 +63,14 @@ class _Leaves(HTMLParser):
                 self.blocks.append(Block(text, list(self.open), self.linked))
             self.parts, self.linked = [], 0
 
+    def _end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.open.pop()
+            self.unseen -= 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in VOID:
             if tag == "br":
                 self.handle_data(" ")
@@ -86,7 +95,7 @@ class _Leaves(HTMLParser):
                 self.unseen -= sum(t in UNSEEN for t, _ in self.open[i:])
                 del self.open[i:]
                 return
-            if self.open[i][0] in stop or (tag == "p" and self.open[i][0] in BLOCK):
+            if self.open[i][0] in stop | UNSEEN or (tag == "p" and self.open[i][0] in BLOCK):
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -99,10 +108,12 @@ class _Leaves(HTMLParser):
                 self.unseen -= sum(t in UNSEEN for t, _ in self.open[i:])
                 del self.open[i:]
                 return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
+            if tag not in BLOCK | UNSEEN and self.open[i][0] in BLOCK:
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if self.unseen:
             return
         self.parts.append(data)

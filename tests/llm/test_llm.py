@@ -220,6 +220,15 @@ def test_secret_network_finds_held_out_secrets():
     assert secret_scan.train([]).threshold > 1
 
 
+def test_secret_threshold_keeps_recall_below_one_half():
+    # windows of one look with both labels: no probability of a secret reaches one half
+    found = [("same look of everything".ljust(secret_scan.WINDOW), int(i % 5 == 0)) for i in range(400)]
+    net = secret_scan.train(found)
+    assert 0 < net.threshold < 0.5
+    assert (net.probability([w for w, y in found if y]) >= net.threshold).mean() >= 0.95
+    assert 0 < net.precision < 0.5
+
+
 def test_secret_gradient():
     data = secret_scan.generated_findings(12, 1)
     net = secret_scan.Network.fresh(3)
@@ -502,6 +511,20 @@ def test_html_extract(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("short, whole", [
+    ("<html><head><title>t</title><meta name=a><body><p>one<p>two</html>", "<html><head><title>t</title><meta name=a></head><body><p>one</p><p>two</p></body></html>"),
+    ("<head><title>t</title><style>p{}</style><article><p>one</article>", "<head><title>t</title><style>p{}</style></head><article><p>one</p></article>"),
+    ("<head><title>t</title>one<p>two", "<head><title>t</title></head>one<p>two</p>"),
+    ("<head><noscript><img src=x></noscript><meta name=a><main>one", "<head><noscript><img src=x></noscript><meta name=a></head><main>one</main>"),
+    ("<body><noscript><p>Enable scripts</noscript><p>one", "<body><noscript><p>Enable scripts</p></noscript><p>one</p></body>"),
+    ("<body><p>one<noscript><p>Enable scripts</noscript><p>two", "<body><p>one<noscript><p>Enable scripts</p></noscript></p><p>two</p></body>"),
+    ("<main><object><ul><li>no</object><p>one</main>", "<main><object><ul><li>no</li></ul></object><p>one</p></main>"),
+])
+def test_html_end_tags_may_be_left_out(short, whole):
+    assert html_extract.leaf_blocks(short) == html_extract.leaf_blocks(whole)
+    assert "one" in [b.text for b in html_extract.leaf_blocks(short)]
+
+
 def test_html_gradient():
     rng = np.random.default_rng(0)
     net = html_extract.Labeller.fresh(1, hidden=3)
