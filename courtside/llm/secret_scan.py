@@ -90,6 +90,8 @@ class Network:
     scale: float = 1.0
     shift: float = 0.0
     threshold: float = 0.5
+    #: Share of secrets among the held-out findings at or above the threshold.
+    precision: float = 0.0
 
     WIDTHS = (3, 7)
 
@@ -196,8 +198,10 @@ def train(findings: list[tuple[str, int]], recall: float = 0.95, epochs: int = 6
         p = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
         net.scale -= 0.1 * ((p - held) * logit).mean()
         net.shift -= 0.1 * (p - held).mean()
-    p = np.sort((1 / (1 + np.exp(-(net.scale * logit + net.shift))))[held == 1])
-    net.threshold = max(0.5, float(p[int((1 - recall) * len(p))]))
+    every = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
+    p = np.sort(every[held == 1])
+    net.threshold = float(p[int((1 - recall) * len(p))])
+    net.precision = float(held[every >= net.threshold].mean())
     return net
 
 
