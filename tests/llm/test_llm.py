@@ -177,7 +177,7 @@ def test_near_copies_equal_brute_force(spark, joined_at_most):
                 root = [a if r == b else r for r in root]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     table = near_copies.shingle_sets(frame, "doc_id", "text")
-    placed = simhash.with_components(table.select("doc_id", "f"), "doc_id", edges=near_copies.links(table, joined_at_most))
+    placed = simhash.with_components(table.select("doc_id", "f"), "doc_id", edges=near_copies.links(table, frame, ["doc_id"], joined_at_most=joined_at_most))
     assert {r.doc_id: r.component_id for r in placed.collect()} == dict(enumerate(root))
     assert len(set(root)) < len(texts) - 20
 
