@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import byte_bpe_spark, chat_format, class_lm, html_extract, mixing, quality_rules, secret_scan, simhash, token_counts, topk
+from courtside.llm import (
+    byte_bpe_spark, chat_format, class_lm, html_extract, line_dedup, mixing, phrases, quality_rules, secret_scan, simhash, token_counts, topk, whitening,
+)
 from courtside.session import stage
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,6 +86,19 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +108,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": exact_top_k, "op2_simhash": simhash_groups, "op3_secret_scan": secrets, "op4_token_counts": unigram_counts,
     "op5_chat_format": chats, "op6_mixing": mixed, "op7_byte_bpe": bpe_round_trip, "op8_quality_rules": quality,
-    "op9_html_extract": page_texts, "op10_class_lm": class_scores,
+    "op9_html_extract": page_texts, "op10_class_lm": class_scores, "op11_whitening": whitened, "op12_phrases": phrase_collocations,
+    "op13_line_dedup": common_lines,
 }
 
 ORACLES: dict[str, str] = {
@@ -119,4 +135,31 @@ ORACLES: dict[str, str] = {
                 THEN replace(replace(replace(text, chr(92), chr(92) || 'e'), '</turn>', chr(92) || 't'), '### ', chr(92) || 'h')
                 ELSE text END)) AS BIGINT) AS formatted_chars
         FROM every GROUP BY conv_id""",
+    "op12_phrases": """
+        WITH rows AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+        cut AS (SELECT doc, lang, unnest(string_split_regex(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM rows),
+        pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM cut),
+        totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+        starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces WHERE len(w) > 0),
+        grams AS (SELECT lang, unnest(list_transform(range(1, least(5, len(w) - i + 1) + 1), lambda d: w[i:i + d - 1])) AS g FROM starts),
+        f AS (SELECT lang, g, len(g) AS d, CAST(count(*) AS HUGEINT) AS c FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+        cuts AS (SELECT lang, g, c AS a, unnest(range(1, d)) AS k FROM f WHERE d >= 2),
+        scored AS (SELECT u.lang, u.g, u.a, u.k, x.c AS l, y.c AS r, t.n, (1000 * u.a * t.n) // (x.c * y.c) AS score FROM cuts u
+            JOIN f x ON x.lang = u.lang AND x.g = u.g[1:u.k] JOIN f y ON y.lang = u.lang AND y.g = u.g[u.k + 1:len(u.g)] JOIN totals t ON t.lang = u.lang),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        inner_parts AS (SELECT lang, c, unnest(list_concat(list_transform(range(1, d), lambda i: g[1:i]), list_concat(list_transform(range(2, d + 1), lambda i: g[i:d]),
+            list_transform(range(2, d), lambda i: g[i:i + 1]), list_transform(range(2, d - 1), lambda i: g[i:i + 2])))) AS g FROM f WHERE d >= 3),
+        around AS (SELECT lang, g, max(c) AS c FROM inner_parts GROUP BY lang, g),
+        kept AS (SELECT s.* FROM lowest s LEFT JOIN around o ON o.lang = s.lang AND o.g = s.g WHERE o.c IS NULL OR 100 * o.c < 100 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+            CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM kept QUALIFY rank <= 2000""",
+    "op13_line_dedup": """
+        WITH cut AS (SELECT row_number() OVER () AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM cut),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+        FROM (SELECT doc, doc_id, line, place, key IN (SELECT key FROM common) AS gone FROM keyed) GROUP BY doc, doc_id""",
 }
