@@ -56,4 +56,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/courtside/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the folders of tables that :func:`stage` returned, once nothing that is still to run reads them."""
+    for df in staged:
+        jvm, path = df.sparkSession._jvm, getattr(df, "_staged_at", None)
+        if path is not None:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            df._staged_at = None
