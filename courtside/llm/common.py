@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +56,28 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes not to be one of ``taken`` (Spark ignores case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def table_bits(expected: int, fewest: int = 16, most: int = 27) -> int:
+    """Size of a bit table, as a power of two, for so many slots, between two bounds."""
+    return min(most, max(fewest, int(expected).bit_length()))
+
+
+def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2**bits booleans, true at the numbers in column ``slot``: at most 2**bits / 64 rows reach the driver."""
+    word = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    words = np.zeros(max(1, (1 << bits) // 64), np.int64)
+    words[word.column("at").to_numpy()] = word.column("bits").to_numpy()
+    return words
+
+
+def is_set(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (table[slots >> 6] >> (slots & 63)) & 1 == 1

@@ -7,8 +7,8 @@ by Spark (which spills), and read in order: that is the subtree in depth-first o
 a node are neighbours and their totals are the counts of the node's phrase. A partition is read in batches and holds one batch at a time;
 nodes cut by a batch's edge, and nodes above a crowded prefix, are added up afterwards.
 
-Before that, prefixes of one word (exactly) and two words (by slots of a table of bounded size) that occur too rarely are cut off, since no longer phrase
-can occur more often than its parts. More words than slots only make that filter weaker, never wrong.
+Before that, prefixes of one word (exactly), two and three words (by slots of tables of bounded size) that occur too rarely are cut off, since no longer phrase
+can occur more often than its parts. More prefixes than slots only make that filter weaker, never wrong.
 Words are 64-bit hashes until the end. The first pass checks that no two words share one, and takes another seed if they do.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import LOWER_TABLE, small_batches
+from courtside.llm.common import LOWER_TABLE, bit_table, is_set, small_batches, table_bits
 from courtside.session import stage
 
 DEPTH = 5
@@ -31,10 +31,10 @@ DEPTH = 5
 BUDGET = 1 << 20
 #: A prefix is crowded if it has more than this share of all positions, so at most 1,024 of one length are.
 CROWDED = 1 / 1024
-#: Slots of the tables that filter words and pairs: at least and at most, as powers of two.
-FEWEST_BITS, MOST_BITS = 16, 27
 #: A task's table of words is sent on when it holds so many.
 TABLE = 400_000
+#: A task sorts and counts its suffixes when it holds so many.
+SUFFIXES = 1 << 20
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _LOWER_AND_ENDS = bytes(_ENDS[c] for c in LOWER_TABLE)
@@ -97,10 +97,7 @@ def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def word_counts(texts: DataFrame, least: int, seed: int) -> DataFrame:
-    """``id``, ``lang``, ``word``, ``n`` of all words that occur ``least`` times; ``word`` is NULL for a language's total.
-
-    ``kinds`` is how many different words have the id; rows with more than one are kept whatever their count.
-    """
+    """``id``, ``lang``, ``word``, ``n`` and ``kinds`` as :func:`merged` says; ``word`` is NULL for a language's total."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, dict[bytes, int]] = {}
 
@@ -125,31 +122,22 @@ def word_counts(texts: DataFrame, least: int, seed: int) -> DataFrame:
                     held = 0
         yield from sent()
 
-    rows = texts.mapInArrow(run, "id long, lang string, word string, n long").repartition("id")
-    each = rows.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
-    one = each.groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    return one.where((F.col("n") >= least) | F.col("word").isNull() | (F.col("kinds") > 1))
-
-
-def _table_bits(expected: int) -> int:
-    return min(MOST_BITS, max(FEWEST_BITS, int(expected).bit_length()))
+    return merged(texts.mapInArrow(run, "id long, lang string, word string, n long"), least)
 
 
-def bit_table(slots: DataFrame, bits: int) -> np.ndarray:
-    """A table of 2**bits booleans, true at the numbers in column ``slot``: at most 2**21 rows of 64 bits reach the driver."""
-    word = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
-    words = np.zeros(max(1, (1 << bits) // 64), np.int64)
-    words[word.column("at").to_numpy()] = word.column("bits").to_numpy()
-    return words
+def merged(rows: DataFrame, least: int) -> DataFrame:
+    """Counts per id of those that occur ``least`` times, and of totals.
 
-
-def _is_set(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (table[slots >> 6] >> (slots & 63)) & 1 == 1
+    ``kinds`` is how many different words have the id; rows with more than one are kept whatever their count. One exchange serves both steps.
+    """
+    each = rows.repartition("id").groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
+    one = each.groupBy("id").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    return one.where((F.col("n") >= least) | F.col("word").isNull() | (F.col("kinds") > 1))
 
 
 def _pairs(ids: np.ndarray, words: np.ndarray, word_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose word and the next one in the piece both may be frequent, and the hashes of these pairs."""
-    may = (ids != 0) & _is_set(words, _slots(ids, word_bits))
+    may = (ids != 0) & is_set(words, _slots(ids, word_bits))
     at = np.flatnonzero(may[:-1] & may[1:])
     return at, _mixed(ids[at], ids[at + 1])
 
@@ -213,20 +201,23 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     known = words.where(F.col("word").isNotNull())
     facts = words.agg(F.count_if(F.col("word").isNotNull()).alias("words"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("n")).first()
     positions = facts.n or 0
-    word_bits, pair_bits = _table_bits(8 * facts.words), _table_bits(positions // 4)
+    word_bits, pair_bits = table_bits(8 * facts.words), table_bits(positions // 4)
     top = lambda bits: F.expr(f"shiftrightunsigned(id, {64 - bits})").alias("slot")
     may_be_frequent = bit_table(known.select(top(word_bits)), word_bits)
     shared = spark.sparkContext.broadcast(may_be_frequent)
 
-    def pair_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                _, pair = _pairs(_tokens(batch, seed), shared.value, word_bits)
-                slot, n = np.unique(_slots(pair, pair_bits), return_counts=True)
-                yield pa.record_batch([pa.array(slot), pa.array(n)], ["slot", "n"])
+    def slot_counts(prefixes, bits: int) -> DataFrame:
+        """Slots of prefix hashes that ``least`` positions share; ``prefixes`` gives a batch's hashes."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    slot, n = np.unique(_slots(prefixes(batch), bits), return_counts=True)
+                    yield pa.record_batch([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+        counted = texts.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        return stage(counted.where(F.col("n") >= least), "prefix_slots")
 
-    counted = texts.mapInArrow(pair_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counted = stage(counted, "pair_slots")
+    counted = slot_counts(lambda batch: _pairs(_tokens(batch, seed), shared.value, word_bits)[1], pair_bits)
     left = counted.agg(F.sum("n")).first()[0] or 0
     crowd = int(left * CROWDED)
     pair_table = spark.sparkContext.broadcast(bit_table(counted, pair_bits))
@@ -235,40 +226,67 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     crowded_words = np.sort(known.where(F.col("n") > max(crowd, positions * CROWDED)).toArrow().column("id").to_numpy().view(np.uint64))
     groups = max(-(-left // budget), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def frequent_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """All ids of a batch, then of every position that a frequent pair may start at: the position, the pair's hash and slot."""
+        ids = np.append(_tokens(batch, seed), np.zeros(DEPTH, np.uint64))
+        at, pair = _pairs(ids, shared.value, word_bits)
+        slot = _slots(pair, pair_bits)
+        good = is_set(pair_table.value, slot)
+        return ids, at[good], pair[good], slot[good]
+
+    def triples(ids: np.ndarray, at: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those places of ``at`` where another frequent pair starts at the next word, and the hashes of the three words."""
+        goes_on = np.zeros(len(ids), bool)
+        goes_on[at] = True
+        where = np.flatnonzero(goes_on[at + 1])
+        return where, _mixed(pair[where], ids[at[where] + 2])
+
+    triple_bits = table_bits(left // 4)
+    thrice = slot_counts(lambda batch: (lambda ids, at, pair, _: triples(ids, at, pair)[1])(*frequent_pairs(batch)), triple_bits)
+    triple_table = spark.sparkContext.broadcast(bit_table(thrice, triple_bits))
+
+    def suffixes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The suffix of every position that counts, its first pair's hash and slot."""
+        ids, at, pair, slot = frequent_pairs(batch)
+        where, triple = triples(ids, at, pair)
+        goes_on = np.zeros(len(ids) + DEPTH, bool)
+        goes_on[at[where[is_set(triple_table.value, _slots(triple, triple_bits))]]] = True
+        m = np.zeros((len(at), DEPTH), np.uint64)
+        m[:, 0], m[:, 1] = ids[at], ids[at + 1]
+        on = np.ones(len(at), bool)
+        for d in range(2, DEPTH):
+            on = on & goes_on[at + d - 2]
+            m[on, d] = ids[at[on] + d]
+        return m, pair, slot
+
+    def counted_suffixes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        m, pair, slot = (np.concatenate(of) for of in zip(*parts))
+        order = np.lexsort(m.T[::-1])
+        m = m[order]
+        start = np.flatnonzero(np.append(True, (m[1:] != m[:-1]).any(1)))
+        n = np.diff(np.append(start, len(m)))
+        m, slot, pair = m[start], slot[order][start], pair[order][start]
+        own = np.ones(len(m), np.int32)
+        own[np.isin(m[:, 0], crowded_words)] = 2
+        own[np.isin(slot, crowded_pairs)] = 3
+        prefix = np.select([own == 1, own == 2], [m[:, 0], pair], _mixed(pair, m[:, 2]))
+        group = (_mixed(prefix, prefix) % np.uint64(groups)).astype(np.int64)
+        length = (m != 0).sum(1)
+        offsets = np.append(0, np.cumsum(8 * length)).astype(np.int32)
+        s = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(m[m != 0].tobytes())])
+        return pa.record_batch([pa.array(group), s, pa.array(n), pa.array(own)], ["grp", "s", "n", "own"])
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.append(_tokens(batch, seed), np.zeros(DEPTH, np.uint64))
-            at, pair = _pairs(ids, shared.value, word_bits)
-            slot = _slots(pair, pair_bits)
-            good = _is_set(pair_table.value, slot)
-            at, pair, slot = at[good], pair[good], slot[good]
-            if not len(at):
-                continue
-            goes_on = np.zeros(len(ids), bool)
-            goes_on[at] = True
-            m = np.zeros((len(at), DEPTH), np.uint64)
-            m[:, 0], m[:, 1] = ids[at], ids[at + 1]
-            on = np.ones(len(at), bool)
-            for d in range(2, DEPTH):
-                on = on & goes_on[at + d - 1]
-                m[on, d] = ids[at[on] + d]
-            order = np.lexsort(m.T[::-1])
-            m = m[order]
-            start = np.flatnonzero(np.append(True, (m[1:] != m[:-1]).any(1)))
-            n = np.diff(np.append(start, len(m)))
-            m, slot, pair = m[start], slot[order][start], pair[order][start]
-            own = np.ones(len(m), np.int32)
-            own[np.isin(m[:, 0], crowded_words)] = 2
-            own[np.isin(slot, crowded_pairs)] = 3
-            prefix = np.select([own == 1, own == 2], [m[:, 0], pair], _mixed(pair, m[:, 2]))
-            group = (_mixed(prefix, prefix) % np.uint64(groups)).astype(np.int64)
-            length = (m != 0).sum(1)
-            data = m[m != 0].tobytes()
-            offsets = np.append(0, np.cumsum(8 * length)).astype(np.int32)
-            s = pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield pa.record_batch([pa.array(group), s, pa.array(n), pa.array(own)], ["grp", "s", "n", "own"])
+            if batch.num_rows and len((part := suffixes_of(batch))[0]):
+                parts.append(part)
+                held += len(part[0])
+            if held >= SUFFIXES:
+                yield counted_suffixes(parts)
+                parts, held = [], 0
+        if parts:
+            yield counted_suffixes(parts)
 
     dealt = texts.mapInArrow(suffixes, "grp long, s binary, n long, own int").repartition("grp").sortWithinPartitions("grp", "s")
     nodes = suffix_nodes(dealt, least).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -312,6 +330,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     spelled = best.select("s", F.posexplode(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring("s", 8 * i + 1, F.lit(8)))).alias("at", "w"))
     spelled = spelled.join(words_by_bytes.select("w", "word"), "w").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("of"))
     spelled = spelled.select("s", F.array_join(F.transform("of", lambda w: w["word"]), " ").alias("phrase"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return best.join(spelled, "s").withColumn("rank", rank).where(F.col("rank") <= most).select(
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # a language's phrases are ranked in 64 parts first, so the window by language alone meets at most 64 * most
+    part = F.pmod(F.xxhash64("s"), F.lit(64))
+    leading = best.join(spelled, "s").withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= most)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    return leading.withColumn("rank", rank).where(F.col("rank") <= most).select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
