@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtside.llm.common import LOWER_TABLE, small_batches, texts_of
 from courtside.session import stage
@@ -212,7 +213,7 @@ def without_common_lines(docs: DataFrame, shards: DataFrame, span: tuple[int, in
                    "_n_dropped": pa.array(before + np.where(was_gone, 0, dropped), pa.int64())}
             yield pa.record_batch([now[c] if c in now else batch.column(c) for c in columns], columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", threshold: int = 10, per_shard: int = SHARD, group_bytes: int = GROUP_BYTES) -> DataFrame:
