@@ -86,6 +86,37 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LENGTHS = "CAST(power(10, k % 7) AS BIGINT)"
+
+
+@query("range_join_long", f"""
+SELECT s.event_id AS span_id, count(*) AS n, min(e.event_id) AS first_id, max(e.event_id) AS last_id
+FROM {{ev}} s JOIN {{ev}} e ON s.event_type = 'signup' AND e.event_id * 1000 >= s.event_id * 1000 AND e.event_id * 1000 < s.event_id * 1000 + {LENGTHS.replace("k", "s.k")}
+GROUP BY s.event_id""")
+def range_join_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of lengths from 1 to a million over events a thousand apart: how many each holds, its first and last."""
+    ev = events(spark, sf_dir).withColumns({"one": F.lit(1), "at": F.col("event_id") * 1000})
+    spans = ev.where("event_type = 'signup'").select(
+        "one", F.col("event_id").alias("span_id"), F.col("at").alias("lo"), (F.col("at") + F.expr(LENGTHS)).alias("hi"))
+    found = range_join(ev.select("one", "event_id", "at"), spans, ["one"], "at", "lo", "hi", "inner", 1024)
+    return found.groupBy("span_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("overlap_long", f"""
+SELECT a.event_id AS a_id, count(*) AS n, sum(least(a.event_id * 1000 + {LENGTHS.replace("k", "a.k")}, b.event_id * 1000 + {LENGTHS.replace("k", "b.k")})
+  - greatest(a.event_id, b.event_id) * 1000)::BIGINT AS shared
+FROM {{ev}} a JOIN {{ev}} b ON a.event_type = 'signup' AND b.event_type = 'error' AND a.event_id * 1000 < b.event_id * 1000 + {LENGTHS.replace("k", "b.k")}
+  AND b.event_id * 1000 < a.event_id * 1000 + {LENGTHS.replace("k", "a.k")} GROUP BY a.event_id""")
+def overlap_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of two kinds, of lengths from 1 to a million: how many of the other kind each meets, and for how long in all."""
+    ev = events(spark, sf_dir).withColumns({"one": F.lit(1), "at": F.col("event_id") * 1000})
+    side = lambda kind, tag: ev.where(F.col("event_type") == kind).select(
+        "one", F.col("event_id").alias(f"{tag}_id"), F.col("at").alias(f"{tag}_lo"), (F.col("at") + F.expr(LENGTHS)).alias(f"{tag}_hi"))
+    pairs = overlap_join(side("signup", "a"), side("error", "b"), ["one"], ("a_lo", "a_hi"), ("b_lo", "b_hi"), width=1024)
+    shared = F.least("a_hi", "b_hi") - F.greatest("a_lo", "b_lo")
+    return pairs.groupBy("a_id").agg(F.count(F.lit(1)).alias("n"), F.sum(shared).alias("shared"))
+
+
 @query("existence_flag", """
 SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS is_listed FROM customer""")
 def existence_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +232,15 @@ def lag_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "prev_type", "next_type", (F.col("value") - F.col("_pv")).alias("diff"))
 
 
+@query("lag_lead_sparse", """
+SELECT event_id, lag(k) OVER w AS prev_k, lead(event_type) OVER w AS next_type, sum(k) OVER w::BIGINT AS run_k FROM {ev} WINDOW w AS (PARTITION BY game_id ORDER BY event_id)""")
+def lag_lead_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids so far apart that every row is a bucket of its own: the summaries are cut into blocks as well."""
+    ev = events(spark, sf_dir).select("game_id", "event_id", "event_type", "k", (F.col("event_id") * 1_000_000).alias("at"))
+    out = ordered_pass(ev, ["game_id"], ["at"], bucket_of("at"), {"prev_k": lag("k"), "next_type": lead("event_type"), "run_k": running("k")}, levels=2)
+    return out.select("event_id", "prev_k", "next_type", "run_k")
+
+
 @query("running_sum", """
 SELECT event_id, sum(k) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run_k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {ev}""")
 def running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -457,9 +497,12 @@ def grouped_ranks_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rank(ranked, ["kind"], "day", "day_r", "dense", descending=True).select("event_id", "kind", "r", "day_r")
 
 
-@query("quantiles_null_group", f"SELECT kind, quantile_cont(value, 0.25) AS q1, median(value) AS med FROM ({NULL_KEYS}) GROUP BY kind")
+@query("quantiles_null_group", f"""
+SELECT kind, quantile_cont(v, 0.25) AS q1, median(v) AS med FROM (SELECT kind, CASE WHEN event_type <> 'signup' THEN value END AS v FROM ({NULL_KEYS})) GROUP BY kind""")
 def quantiles_null_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_quantiles(_null_keys(spark, sf_dir), ["kind"], "value", {"q1": 0.25, "med": 0.5})
+    """One group has a NULL key, another NULL values alone."""
+    rows = _null_keys(spark, sf_dir).withColumn("v", F.when(F.col("event_type") != "signup", F.col("value")))
+    return exact_quantiles(rows, ["kind"], "v", {"q1": 0.25, "med": 0.5})
 
 
 @query("group_extremes_null_group", f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.clock import season_label, start_minutes
-from ..operators.joins import pattern_join, word_join
+from ..operators.joins import pattern_join, pattern_join_indexed, word_join
 from ..operators.verbs import clean_names, separate, unite
 from ..sources import json_docs as J
 from ..sources import pages as H
@@ -190,6 +190,26 @@ def pattern_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pattern_join(parts, patterns, "p_name", "pattern").drop("pattern")
 
 
+@query("pattern_join_indexed", r"""
+SELECT doc_id, item_id FROM documents JOIN (SELECT item_id, regexp_replace(array_to_string(string_split_regex(text, '[^A-Za-z]+')[2:7], ' '), ' ', '[^A-Za-z]+', 'g') AS pattern
+  FROM benchmark) ON regexp_matches(text, pattern)""")
+def pattern_join_indexed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts that hold six words of a benchmark passage in a row, whatever stands between them."""
+    words = F.slice(F.split("text", "[^A-Za-z]+"), 2, 6)
+    patterns = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, "[^A-Za-z]+").alias("pattern"))
+    return pattern_join_indexed(read(spark, sf_dir, "documents").select("doc_id", "text"), patterns, "text", "pattern", "inner").select("doc_id", "item_id")
+
+
+@query("pattern_join_named", r"""
+SELECT p_partkey, p_name, r_name FROM part LEFT JOIN (
+  SELECT r_name, ['^red', 'bl[aeiou]e', 'sm?all', 'wid+get$', '^.r.e{2}n'][r_regionkey + 1] AS pattern FROM region) n ON regexp_matches(p_name, n.pattern)""")
+def pattern_join_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short patterns: some have a literal of three characters, the others go through the broadcast."""
+    some = F.array(*[F.lit(s) for s in ("^red", "bl[aeiou]e", "sm?all", "wid+get$", "^.r.e{2}n")])
+    patterns = read(spark, sf_dir, "region").select("r_name", F.get(some, F.col("r_regionkey")).alias("pattern"))
+    return pattern_join_indexed(read(spark, sf_dir, "part").select("p_partkey", "p_name"), patterns, "p_name", "pattern").drop("pattern")
+
+
 @query("whole_word", r"""
 SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || lower(lang) || '($|[^\p{L}\p{N}_])') AS names_lang FROM documents""")
 def whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:

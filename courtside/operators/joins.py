@@ -8,12 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .names import fresh
 
 DEFAULT_CELL = 64
 
 
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """``[start, end)`` as an array of aligned blocks (level, block): block b of level v is ``[b * 2**v, (b + 1) * 2**v)``.
+
+    Of every level at most two blocks are taken, so there are at most ``2 * log2(length) + 2`` of them; they are
+    disjoint and fill the interval. One or two units are listed one by one. NULL or empty intervals have no block.
+    """
+    unit = lambda at: F.struct(F.lit(0).alias("level"), at.cast("long").alias("block"))
+    span = end - start
+
+    def of_level(v: Column) -> Column:
+        lo = -F.call_function("shiftright", -start.cast("long"), v)
+        hi = F.call_function("shiftright", end.cast("long"), v)
+        odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+        block = lambda at: F.struct(v.alias("level"), at.alias("block"))
+        first = F.when((lo < hi) & odd(lo), block(lo))
+        last = F.when((lo < hi) & odd(hi), block(hi - 1))
+        return F.array(first, last)
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(span, F.lit(1)).cast("double"))).cast("int") + 1)
+    many = F.array_compact(F.flatten(F.transform(levels, of_level)))
+    few = F.filter(F.array(unit(start), unit(start + 1)), lambda b: b["block"] < end)
+    return F.when(span > 2, many).when(span > 0, few)
+
+
 def _cells(start: str, end: str, width: int) -> Column:
-    return F.explode(F.expr(f"sequence(`{start}` div {width}, (`{end}` - 1) div {width})"))
+    """Cover of ``[start, end)`` in cells of ``width`` ids; a cell may stick out at either end."""
+    lo, hi = F.floor(F.expr(f"`{start}` / {width}D")), F.floor(F.expr(f"(`{end}` - 1) / {width}D"))
+    return F.when(F.col(start) < F.col(end), dyadic_cover(lo, hi + 1))
+
+
+def _ancestors(at: str, width: int, levels: Sequence[int]) -> Column:
+    """The block of every level that holds the id ``at``."""
+    cell = F.floor(F.expr(f"`{at}` / {width}D"))
+    return F.array(*(F.struct(F.lit(v).alias("level"), F.shiftright(cell, v).alias("block")) for v in levels))
+
+
+def cover_levels(intervals: DataFrame, start: str, end: str, width: int) -> list[int]:
+    """The levels that covers of these intervals use: a small job whose answer has at most 64 numbers."""
+    found = intervals.select(F.explode(F.transform(_cells(start, end, width), lambda b: b["level"])).alias("level"))
+    return sorted(r.level for r in found.distinct().collect()) or [0]
 
 
 def range_join(
@@ -26,19 +65,34 @@ def range_join(
     how: str = "left",
     width: int = DEFAULT_CELL,
 ) -> DataFrame:
-    """Points to half-open ``[start, end)`` intervals of the same key.
-
-    Intervals are listed once per id cell they touch, so the join key is
-    (keys, cell): a hot key is spread over its cells and a point meets only the
-    intervals of its own cell. Column names must not clash outside ``keys``.
+    """Points to half-open ``[start, end)`` intervals of the same key; ``how`` is inner or left.
+
+    Intervals are cut into dyadic blocks of cells, so one of any length has at most ``2 * log2(length / width) + 4`` copies,
+    and a point looks up the block around it on each level that occurs (which a small job asks of the
+    intervals first: stage an expensive input). The join key is (keys, level, block), so a hot key is spread over its
+    blocks. Where intervals span two cells at most there is one level, and points travel once. With more, only distinct
+    (keys, at) look the blocks up, and points are joined to what they found. NULL keys and positions match nothing;
+    integer ids below 2**53 in magnitude. Column names must not clash outside ``keys``.
     """
-    listed = intervals.where(F.col(start) < F.col(end)).withColumn("_cell", _cells(start, end, width))
-    placed = points.withColumn("_cell", F.expr(f"`{at}` div {width}"))
-    renamed = listed.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_cell"]})
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    levels = cover_levels(intervals, start, end, width)
+    block = fresh("_block", points, intervals)
+    by = [*keys, block]
+    listed = intervals.withColumn(block, F.explode(_cells(start, end, width)))
+    renamed = listed.withColumnsRenamed({k: f"_r_{k}" for k in by})
     cond = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    for k in [*keys, "_cell"]:
+    for k in by:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
-    return placed.join(renamed, cond, how).drop("_cell", *[f"_r_{k}" for k in [*keys, "_cell"]])
+    gone = [block, *(f"_r_{k}" for k in by)]
+    if len(levels) == 1:
+        placed = points.withColumn(block, F.get(_ancestors(at, width, levels), 0))
+        return placed.join(renamed, cond, how).drop(*gone)
+    if how == "inner":
+        return points.withColumn(block, F.explode(_ancestors(at, width, levels))).join(renamed, cond).drop(*gone)
+    places = points.select(*keys, at).distinct().withColumn(block, F.explode(_ancestors(at, width, levels)))
+    hits = places.join(renamed, cond).drop(*gone)
+    return points.join(hits, [*keys, at], "left").select(*points.columns, *(c for c in intervals.columns if c not in keys))
 
 
 def overlap_join(
@@ -52,20 +106,30 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs of the same key whose half-open spans intersect, each pair once.
 
-    Both sides are listed per id cell; a pair counts only in the cell that
-    holds the start of its intersection. ``condition`` may use all columns.
+    Two intervals meet exactly if the left one holds the right one's start, or the right one holds the left one's and
+    starts earlier. Both cases are a point in a dyadic cover, and one join does both: a row is listed at the
+    blocks of its cover and, for the other case, at the blocks around its start. An interval of any length has a number of
+    copies logarithmic in it. ``condition`` may use all columns.
     """
     (ls, le), (rs, re) = left_span, right_span
-    a = left.where(F.col(ls) < F.col(le)).withColumn("_cell", _cells(ls, le, width))
-    b = right.where(F.col(rs) < F.col(re)).withColumn("_cell", _cells(rs, re, width))
-    b = b.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "_cell"]})
-    cond = (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le))
-    cond = cond & (F.expr(f"greatest(`{ls}`, `{rs}`) div {width}") == F.col("_cell"))
-    for k in [*keys, "_cell"]:
+    block = fresh("_block", left, right)
+    by = [*keys, block]
+
+    def listed(df: DataFrame, span: tuple[str, str], levels: Sequence[int], covers: int) -> DataFrame:
+        tag = lambda case: lambda b: F.struct(F.lit(case).alias("case"), b["level"].alias("level"), b["block"].alias("block"))
+        places = F.concat(F.transform(_cells(*span, width), tag(covers)), F.transform(_ancestors(span[0], width, levels), tag(1 - covers)))
+        return df.where(F.col(span[0]) < F.col(span[1])).withColumn(block, F.explode(places))
+
+    a = listed(left, left_span, cover_levels(right, rs, re, width), 0)
+    b = listed(right, right_span, cover_levels(left, ls, le, width), 1).withColumnsRenamed({k: f"_r_{k}" for k in by})
+    holds_start = (F.col(ls) <= F.col(rs)) & (F.col(rs) < F.col(le))
+    is_held = (F.col(rs) < F.col(ls)) & (F.col(ls) < F.col(re))
+    cond = F.when(F.col(block)["case"] == 0, holds_start).otherwise(is_held)
+    for k in by:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     if condition is not None:
         cond = cond & condition
-    return a.join(b, cond).drop("_cell", *[f"_r_{k}" for k in [*keys, "_cell"]])
+    return a.join(b, cond).drop(block, *[f"_r_{k}" for k in by])
 
 
 def word_join(
@@ -119,3 +183,66 @@ def pattern_join(
         return inner.drop("_row")
     rest = left.join(inner.select("_row").distinct(), "_row", "left_anti").select(*columns)
     return inner.drop("_row").unionByName(rest, allowMissingColumns=True)
+
+
+def _without(pattern: Column, *pieces: str) -> Column:
+    """``pattern`` with every match of the expressions ``pieces`` replaced by a gap."""
+    for piece in pieces:
+        pattern = F.regexp_replace(pattern, F.lit(piece), F.lit(GAP))
+    return pattern
+
+
+#: Stands where a pattern's literal text is interrupted.
+GAP = "\u0001"
+_TIMES = r"(?:[?*+]|\{[^}]*\})*"
+
+
+def required_literal(pattern: Column, least: int = 3) -> Column:
+    """The longest run of plain characters that every match of a regular expression holds, NULL without one of ``least``.
+
+    Whatever may be absent or vary (classes, groups, escapes, optional characters) counts as a gap; of a pattern with alternatives,
+    flags, look-around, numeric escapes or nested classes nothing is taken for sure.
+    """
+    unsure = pattern.rlike(r"\||\(\?|\\[xucQEkN0-9]|\[[^\]]*\[|" + GAP)
+    plain = _without(
+        pattern, r"\[\^?\]?(?:\\.|[^\]\\])*\]" + _TIMES, r"\\[pP]\{[^}]*\}" + _TIMES, r"\\." + _TIMES,
+        *[r"\([^()]*\)" + _TIMES] * 4)
+    unsure = unsure | plain.rlike(r"[()\[\]\\]")
+    plain = _without(plain, r".(?:[?*]|\{[^}]*\})[?+]?")
+    plain = _without(F.regexp_replace(plain, r"(.)\+[?+]?", F.concat(F.lit("$1"), F.lit(GAP))), r"[.^$]")
+    runs = F.transform(F.split(plain, GAP), lambda r: F.struct(F.length(r).alias("n"), r.alias("text")))
+    longest = F.array_max(runs)
+    return F.when(~unsure & (longest["n"] >= least), longest["text"])
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of three characters of ``text``."""
+    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))))
+
+
+def pattern_join_indexed(left: DataFrame, patterns: DataFrame, text: str, pattern: str, how: str = "left") -> DataFrame:
+    """Join on ``text`` matching the regular expression in ``pattern``, without comparing every row with every pattern.
+
+    Every match holds the pattern's longest required literal, hence all its trigrams. Distinct texts and patterns are
+    joined on the rarest of them (by how many texts hold it), and only those pairs are tried. Patterns without a literal of three characters go
+    through :func:`pattern_join`. NULL texts and patterns match nothing; repeated rows of either side count as often as they occur.
+    ``how`` is ``inner`` or ``left``. Column names must not clash.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    texts = left.select(F.col(text).alias("t")).where("t is not null").distinct()
+    listed = stage(patterns.select(F.col(pattern).alias("p")).where("p is not null").distinct().withColumn("literal", required_literal(F.col("p"))), "patterns")
+    wanted = listed.where("literal is not null").select("p", F.explode(_grams(F.col("literal"))).alias("gram"))
+    held = texts.select("t", F.explode(_grams(F.col("t"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = stage(held, "grams")
+    rarest = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("p").agg(
+        F.min(F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("met"))
+    # a literal with a trigram that no text holds matches nothing
+    whole = rarest.join(wanted.groupBy("p").agg(F.count(F.lit(1)).alias("met")), ["p", "met"]).select("p", F.col("r.gram").alias("gram"))
+    hits = held.join(whole, "gram").where(F.expr("t rlike p")).select("t", "p")
+    loose = listed.where("literal is null").select("p")
+    if loose.limit(1).count():
+        hits = hits.unionByName(pattern_join(texts, loose, "t", "p", "inner").select("t", "p"))
+    t, p = fresh("_text", left, patterns), fresh("_pattern", left, patterns)
+    found = hits.select(F.col("t").alias(t), F.col("p").alias(p)).join(patterns, F.col(p) == F.col(pattern)).drop(p)
+    return left.join(found, F.col(text) == F.col(t), how).drop(t)

@@ -164,7 +164,7 @@ def stints(segments: DataFrame, width: int = DEFAULT_CELL) -> DataFrame:
 
 
 def assign_stints(poss: DataFrame, stint_table: DataFrame, width: int = DEFAULT_CELL) -> DataFrame:
-    """Possession rows with the stint whose id range holds them (left join)."""
+    """Possession rows with the stint whose id range holds them (left join). Stage ``stint_table``: it is read twice."""
     clock = F.col(CLOCK)
     nudged = poss.withColumn(CLOCK, F.when(clock == 0, F.lit(0.00001)).otherwise(clock))
     return range_join(
