@@ -3,16 +3,21 @@
 A plain ``Window.partitionBy(game).orderBy(id)`` puts a whole game into one
 task. Here every group is cut into order buckets (``bucket``: an integer that
 never decreases along the order), each (group, bucket) is processed as its own
-window partition, and what crosses a bucket edge is carried over a small
-one-row-per-bucket summary:
+window partition, and what crosses a bucket edge is carried by a prefix scan:
 
-    rows    --exchange on (keys, bucket)--> local window --+
-    rows    --partial agg per (keys, bucket)--> carry -----+--> join on (keys, bucket)
+    rows --exchange on (keys, bucket)--> windows ----------------------------+
+                     \\-- the same exchange --> one row per bucket             +--> join on (keys, bucket)
+                                              --> the same pass on buckets --+
 
-The join reuses the window's partitioning and sort order, and a group holding a
-third of all rows is spread over its buckets. Keys are compared as one struct, in
-which NULL equals NULL, so NULL keys form groups like any other. Rows whose
-order value is NULL come first in their group, in a bucket of their own.
+The rows are read and exchanged once: both branches ask the exchange for the same columns (packed in
+one struct), so Spark reuses it. Summaries are hash aggregates, or, where a step reads text, what the last row of a bucket sees. They are
+an ordered log themselves, one row per bucket, ordered in a window by group. Where ids are so sparse that a bucket holds few rows,
+that log is nearly as long as the first; with ``levels`` above 1 it is cut again, 4,096 buckets to a block, and goes
+through the same pass, so that the window by group alone meets one row per block of blocks.
+
+Keys are compared as one struct, in which NULL equals NULL, so NULL keys form groups like any other. Rows whose
+order value is NULL come first in their group, in a bucket of their own. Internal names live beside the packed rows only, so the
+columns of the caller may have any names.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ BUCKET = "_bucket"
 KEY = "_key"
 #: Bucket of the rows without an order value.
 UNORDERED = -(2**63)
+#: How many bits of its number a bucket loses per level.
+LEVEL_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -86,109 +93,139 @@ def bucket_of(col: str, width: int = DEFAULT_WIDTH) -> Column:
     return F.expr(f"`{col}` div {int(width)}")
 
 
-def _edge_aggs(i: int, step: Step, order: Column) -> list[Column]:
-    value = F.col(f"_v{i}")
-    name = f"_e{i}"
-    if step.kind == "lag":
-        return [F.max_by(value, order).alias(name)]
-    if step.kind == "lead":
-        return [F.min_by(value, order).alias(name)]
-    if step.kind == "running":
-        return [F.sum(value).alias(name)]
-    if step.kind == "down":
-        return [F.max_by(value, F.when(value.isNotNull(), order)).alias(name)]
-    if step.kind == "up":
-        return [F.min_by(value, F.when(value.isNotNull(), order)).alias(name)]
-    return [getattr(F, step.fn)(value).alias(name)]
-
-
-def _carry(i: int, step: Step, by_key: WindowSpec) -> Column:
-    edge = F.col(f"_e{i}")
-    along = by_key.orderBy(BUCKET)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
+_FIXED = (T.NumericType, T.BooleanType)
+
+#: What carries a kind of step over the edges of buckets; kinds ending in an underscore leave out the row itself.
+_CARRIED = {"lag": "lag", "lead": "lead", "running": "running_", "running_": "running_", "down": "down_", "down_": "down_",
+            "up": "up_", "up_": "up_", "total": "total"}
+
+
+def _along(kind: str, value: Column, fn: str, cell: WindowSpec, along: WindowSpec, order: Sequence[Column]) -> Column:
+    """The step inside a window partition."""
     # looking ahead is looking back along the reversed order: a frame that grows
     # costs one step per row, one that shrinks rescans its rest for every row
-    after = by_key.orderBy(F.desc(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    carried = {
-        "lag": lambda: F.lag(edge).over(along),
-        "lead": lambda: F.lead(edge).over(along),
-        "running": lambda: F.sum(edge).over(before),
-        "down": lambda: F.last(edge, ignorenulls=True).over(before),
-        "up": lambda: F.last(edge, ignorenulls=True).over(after),
-        "total": lambda: getattr(F, step.fn)(edge).over(by_key),
-    }[step.kind]()
-    return carried.alias(f"_c{i}")
-
-
-def _local(i: int, step: Step, w: WindowSpec, reverse: WindowSpec) -> Column:
-    value = F.col(f"_v{i}")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    onward = reverse.rowsBetween(Window.unboundedPreceding, 0)
+    frame = lambda w: w.rowsBetween(Window.unboundedPreceding, -1 if kind.endswith("_") else 0)
+    return {
+        "lag": lambda: F.lag(value).over(along),
+        "lead": lambda: F.lead(value).over(along),
+        "running": lambda: F.sum(value).over(frame(along)),
+        "down": lambda: F.last(value, ignorenulls=True).over(frame(along)),
+        "up": lambda: F.last(value, ignorenulls=True).over(frame(cell.orderBy(*[c.desc() for c in order]))),
+        "total": lambda: getattr(F, fn)(value).over(cell),
+    }[kind.rstrip("_")]()
+
+
+def _edge_aggregate(kind: str, value: Column, fn: str, order: Column) -> Column:
+    """The bucket's summary as an aggregate."""
     return {
-        "lag": lambda: F.lag(value).over(w),
-        "lead": lambda: F.lead(value).over(w),
+        "lag": lambda: F.max_by(value, order),
+        "lead": lambda: F.min_by(value, order),
+        "running": lambda: F.sum(value),
+        "down": lambda: F.max_by(value, F.when(value.isNotNull(), order)),
+        "up": lambda: F.min_by(value, F.when(value.isNotNull(), order)),
+        "total": lambda: getattr(F, fn)(value),
+    }[kind.rstrip("_")]()
+
+
+def _edge(kind: str, value: Column, fn: str, upto: WindowSpec) -> Column:
+    """The bucket's summary as its last row sees it."""
+    return {
+        "lag": lambda: value,
+        "lead": lambda: F.first(value).over(upto),
         "running": lambda: F.sum(value).over(upto),
         "down": lambda: F.last(value, ignorenulls=True).over(upto),
-        "up": lambda: F.last(value, ignorenulls=True).over(onward),
-    }[step.kind]()
+        "up": lambda: F.first(value, ignorenulls=True).over(upto),
+        "total": lambda: getattr(F, fn)(value).over(upto),
+    }[kind.rstrip("_")]()
 
 
-def _merge(i: int, step: Step) -> Column:
-    local, carry = F.col(f"_l{i}"), F.col(f"_c{i}")
-    if step.kind == "lag":
+def _merge(kind: str, local: Column, carry: Column) -> Column:
+    if kind == "lag":
         return F.when(F.col("_first"), carry).otherwise(local)
-    if step.kind == "lead":
+    if kind == "lead":
         return F.when(F.col("_last"), carry).otherwise(local)
-    if step.kind == "running":
+    if kind.startswith("running"):
         return F.when(carry.isNull(), local).otherwise(carry + F.coalesce(local, F.lit(0)))
-    if step.kind == "total":
-        return carry
     return F.coalesce(local, carry)
 
 
+def _packed(fields: dict[str, Column]) -> Column:
+    """One column for everything a pass takes along. The condition always holds, but the optimizer cannot know, so
+    the test for NULL below keeps the whole struct, and both branches of a pass ask the exchange for the same."""
+    return F.when(F.col(BUCKET) >= F.lit(UNORDERED), F.struct(*[c.alias(n) for n, c in fields.items()])).alias("_row")
+
+
+def _scan(rows: DataFrame, kinds: Sequence[str], fns: Sequence[str], n_order: int, levels: int) -> DataFrame:
+    """Rows (key, bucket, packed row with fields o0.. and v0..) with one result ``_r{i}`` per step."""
+    order = [F.col(f"_o{j}") for j in range(n_order)]
+    steps = [(i, kind, F.col(f"_v{i}"), fn) for i, (kind, fn) in enumerate(zip(kinds, fns))]
+    asked = [*[F.col(f"_row.o{j}").alias(f"_o{j}") for j in range(n_order)], *[F.col(f"_row.v{i}").alias(f"_v{i}") for i, *_ in steps]]
+    if levels == 0:
+        cell = Window.partitionBy(KEY)
+        along = cell.orderBy(*order)
+        return rows.select(KEY, BUCKET, "_row", *asked).select(KEY, BUCKET, "_row", "_o0", *[_along(kind, v, fn, cell, along, order).alias(f"_r{i}") for i, kind, v, fn in steps])
+    dealt = rows.repartition(KEY, BUCKET)
+    cell = Window.partitionBy(KEY, BUCKET)
+    along = cell.orderBy(*order)
+    here = F.col("_row").isNotNull().alias("_here")
+
+    narrow = dealt.select(KEY, BUCKET, here, *asked)
+    types = {f.name: f.dataType for f in narrow.schema}
+    if n_order == 1 and all(isinstance(t, _FIXED) for name, t in types.items() if name[:2] in ("_o", "_v")):
+        number = F.coalesce(F.col("_o0"), F.lit(0).cast(types["_o0"]))  # rows without one have a bucket of their own
+        edges = narrow.groupBy(KEY, BUCKET).agg(
+            F.bool_and("_here").alias("_here"), F.lit(True).alias("_last"), *[_edge_aggregate(kind, v, fn, number).alias(f"_e{i}") for i, kind, v, fn in steps])
+    else:
+        upto, last = along.rowsBetween(Window.unboundedPreceding, 0), F.lead(F.lit(1)).over(along).isNull()
+        edges = narrow.select(KEY, BUCKET, "_here", last.alias("_last"), *[_edge(kind, v, fn, upto).alias(f"_e{i}") for i, kind, v, fn in steps])
+    fields = {"o0": F.col("_at"), **{f"v{i}": F.col(f"_e{i}") for i, *_ in steps}}
+    edges = edges.where(F.col("_last") & F.col("_here")).select(KEY, F.col(BUCKET).alias("_at"), F.shiftright(BUCKET, LEVEL_BITS).alias(BUCKET), *[f"_e{i}" for i, *_ in steps])
+    above = _scan(edges.select(KEY, BUCKET, _packed(fields)), [_CARRIED[k] for k in kinds], fns, 1, levels - 1)
+    carry = above.select(KEY, F.col("_o0").alias(BUCKET), *[F.col(f"_r{i}").alias(f"_c{i}") for i, *_ in steps])
+
+    # windows along the reversed order come first, so that the last sort, which the join keeps, is along the order
+    backward_first = sorted(steps, key=lambda s: not s[1].startswith("up"))
+    local = {f"_l{i}": _along(kind, v, fn, cell, along, order) for i, kind, v, fn in backward_first if kind != "total"}
+    if "lag" in kinds:
+        local["_first"] = F.lag(F.lit(1)).over(along).isNull()
+    if "lead" in kinds:
+        local["_last"] = F.lead(F.lit(1)).over(along).isNull()
+    # every bucket has a carry; asked for as a left join, the rows are never the side that is broadcast
+    own = dealt.select(KEY, BUCKET, "_row", *asked).withColumns(local).where(here)
+    joined = own.join(carry, [KEY, BUCKET], "left")
+    results = [F.col(f"_c{i}") if kind == "total" else _merge(kind, F.col(f"_l{i}"), F.col(f"_c{i}")) for i, kind, *_ in steps]
+    return joined.select(KEY, BUCKET, "_row", "_o0", *[r.alias(f"_r{i}") for i, r in enumerate(results)])
+
+
 def ordered_pass(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
     bucket: Column,
     steps: dict[str, Step],
+    levels: int = 1,
 ) -> DataFrame:
     """Add one column per step. ``keys`` may be NULL, ``order`` is ascending (NULLs
     first) and total inside the group, ``bucket`` non-decreasing along ``order``.
 
-    ``df`` is read twice (rows and the pruned, pre-aggregated summary), so
-    stage an expensive input first.
+    ``df`` is read and exchanged once. ``levels`` is how often a log is cut into buckets before a window by
+    group orders the rest: 1 for the rows alone, more for ids so sparse that most buckets hold a row or two.
     """
-    keys = list(keys)
     order_cols = [_col(c) for c in order]
-    if len(order_cols) > 1 or not isinstance(df.select(order_cols[0]).schema[0].dataType, T.NumericType):
-        rank = F.struct(*order_cols)
-    else:
-        rank = F.coalesce(order_cols[0], F.lit(0))  # NULLs have a bucket to themselves
-    values = {f"_v{i}": s.col for i, s in enumerate(steps.values())}
-    placed = F.coalesce(bucket.cast("long"), F.lit(UNORDERED))
-    rows = df.withColumns({KEY: key_of(keys), BUCKET: placed, **values})
-
-    edges = rows.groupBy(KEY, BUCKET).agg(
-        *[agg for i, s in enumerate(steps.values()) for agg in _edge_aggs(i, s, rank)]
-    )
-    by_key = Window.partitionBy(KEY)
-    carry = edges.select(KEY, BUCKET, *[_carry(i, s, by_key) for i, s in enumerate(steps.values())])
-
-    cell = Window.partitionBy(KEY, BUCKET)
-    w, reverse = cell.orderBy(*order_cols), cell.orderBy(*[c.desc() for c in order_cols])
-    local = {
-        f"_l{i}": _local(i, s, w, reverse) for i, s in enumerate(steps.values()) if s.kind != "total"
+    kept = [c for c in df.columns if c not in steps]
+    fields = {
+        **{f"o{j}": c for j, c in enumerate(order_cols)},
+        **{f"v{i}": s.col for i, s in enumerate(steps.values())},
+        **{f"c{i}": F.col(f"`{c}`") for i, c in enumerate(kept)},
     }
-    kinds = {s.kind for s in steps.values()}
-    if "lag" in kinds:
-        local["_first"] = F.lag(F.lit(1)).over(w).isNull()
-    if "lead" in kinds:
-        local["_last"] = F.lead(F.lit(1)).over(w).isNull()
-    joined = rows.withColumns(local).join(carry, [KEY, BUCKET])
-    return joined.select(
-        *[F.col(c) for c in df.columns if c not in steps],
-        *[_merge(i, s).alias(name) for i, (name, s) in enumerate(steps.items())],
+    names = {n: f"_{n}" for n in fields}
+    placed = F.coalesce(bucket.cast("long"), F.lit(UNORDERED))
+    flat = df.select(key_of(keys).alias(KEY), placed.alias(BUCKET), *[c.alias(names[n]) for n, c in fields.items()])
+    rows = flat.select(KEY, BUCKET, _packed({n: F.col(names[n]) for n in fields}))
+    done = _scan(rows, [s.kind for s in steps.values()], [s.fn for s in steps.values()], len(order_cols), levels)
+    return done.select(
+        *[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(kept)],
+        *[F.col(f"_r{i}").alias(name) for i, name in enumerate(steps)],
     )
 
 
