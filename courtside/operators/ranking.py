@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage
+from .names import fresh
 from .ordered import key_of, ordered_pass, running, total
 
 #: A bucket is meant to hold about so many distinct values.
@@ -36,6 +37,16 @@ def as_number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double") if kind.startswith("timestamp") else F.col(col)
 
 
+def _bisect(cuts: Column, value: Column, bits: int) -> Column:
+    """How many of ``2 ** bits - 1`` ascending ``cuts`` lie below ``value``."""
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
+
+
+def _quantiles(col: str, bits: int) -> Column:
+    return F.percentile_approx(col, [i / 2**bits for i in range(1, 2**bits)])
+
+
 def quantile_buckets(df: DataFrame, col: str, out: str, bits: int) -> DataFrame:
     """Add a bucket number non-decreasing in ``col``, cut at approximate quantiles.
 
@@ -43,47 +54,62 @@ def quantile_buckets(df: DataFrame, col: str, out: str, bits: int) -> DataFrame:
     row of ``2 ** bits - 1`` numbers, read as a scalar subquery; a row finds its
     bucket (how many cuts lie below it) by bisection.
     """
-    n = 2**bits
-    cuts = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(col, cuts).alias("cuts")).scalar()
-    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
-    below = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(col), at + step).otherwise(at),
-    )
-    return df.withColumn("_cuts", bounds).withColumn(out, below).drop("_cuts")
+    cuts = fresh("_cuts", df)
+    bounds = df.agg(_quantiles(col, bits)).scalar()
+    return df.withColumn(cuts, bounds).withColumn(out, _bisect(F.col(cuts), F.col(col), bits)).drop(cuts)
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], col: str, descending: bool = False) -> DataFrame:
-    """Distinct non-null values per group with ``n_rows``, ``rank_min``
-    (competition rank), ``rank_dense`` and ``n_total``. Any orderable column."""
-    counts = stage(
-        df.where(F.col(col).isNotNull())
-        .groupBy(*keys, col)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .withColumn("_o", as_number(df, col)),
-        "value_counts",
-    )
+def range_buckets(df: DataFrame, col: str, out: str, n_values: int) -> DataFrame:
+    """:func:`quantile_buckets` for ``n_values`` rows of mostly distinct values, as many as keep a bucket near ``BUCKET_VALUES``.
+
+    One row of cuts has ``2 ** MOST_BITS`` buckets at most. Beyond that every bucket is cut again at quantiles of its own, which are one row
+    per bucket, joined to the bucket's rows. Rows that share one value of ``col`` share a bucket.
+    """
+    bits = bits_for(n_values)
+    wide = quantile_buckets(df, col, out, bits)
+    over = n_values // (BUCKET_VALUES << bits)
+    if over < 2:
+        return wide
+    more = min(MOST_BITS, over.bit_length())
+    cuts = fresh("_cuts", wide)
+    inner = wide.groupBy(out).agg(_quantiles(col, more).alias(cuts))
+    cut = wide.join(inner, out)
+    return cut.withColumn(out, F.col(out).cast("long") * 2**more + _bisect(F.col(cuts), F.col(col), more)).select(*wide.columns)
+
+
+def _counts(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Staged: group ``k`` (a struct), value ``v``, its number of rows; NULL values too."""
+    return stage(
+        df.select(key_of(keys).alias("k"), F.col(col).alias("v"), as_number(df, col).alias("o"))
+        .groupBy("k", "v", "o").agg(F.count(F.lit(1)).alias("n_rows")), "value_counts")
+
+
+def _ranks(counts: DataFrame, descending: bool = False) -> DataFrame:
+    """``k``, ``v``, n_rows, rank_min, rank_dense, n_total of the values that are not NULL."""
+    values = counts.where("v is not null")
     ranked = ordered_pass(
-        quantile_buckets(counts, "_o", "_range", bits_for(counts.count())),
-        keys,
-        [col],
-        F.col("_range"),
-        {"_cum": running("n_rows"), "_nth": running(F.lit(1)), "n_total": total("n_rows"), "_n": total(F.lit(1))},
+        range_buckets(values, "o", "b", values.count()),
+        ["k"],
+        ["v"],
+        F.col("b"),
+        {"cum": running("n_rows"), "nth": running(F.lit(1)), "n_total": total("n_rows"), "n": total(F.lit(1))},
     )
     if descending:
-        first, nth = F.col("n_total") - F.col("_cum") + 1, F.col("_n") - F.col("_nth") + 1
+        first, nth = F.col("n_total") - F.col("cum") + 1, F.col("n") - F.col("nth") + 1
     else:
-        first, nth = F.col("_cum") - F.col("n_rows") + 1, F.col("_nth")
-    return ranked.select(
-        *keys,
-        col,
-        "n_rows",
-        first.alias("rank_min"),
-        nth.cast("long").alias("rank_dense"),
-        "n_total",
-    )
+        first, nth = F.col("cum") - F.col("n_rows") + 1, F.col("nth")
+    return ranked.select("k", "v", "n_rows", first.alias("rank_min"), nth.cast("long").alias("rank_dense"), "n_total")
+
+
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, descending: bool = False) -> DataFrame:
+    """Distinct non-null values per group with ``n_rows``, ``rank_min``
+    (competition rank), ``rank_dense`` and ``n_total``. Any orderable column."""
+    ranks = _ranks(_counts(df, keys, col), descending)
+    return ranks.select(*_unpacked(keys), F.col("v").alias(col), "n_rows", "rank_min", "rank_dense", "n_total")
+
+
+def _unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col("k")[k].alias(k) for k in keys]
 
 
 def with_rank(
@@ -94,8 +120,8 @@ def with_rank(
     kind: str = "rank",
     descending: bool = False,
 ) -> DataFrame:
-    """Attach ``rank``, ``dense`` or ``percent`` rank; NULL values get NULL."""
-    ranks = value_ranks(df, keys, col, descending)
+    """Attach ``rank``, ``dense`` or ``percent`` rank; NULL values get NULL. A column named ``out`` is replaced."""
+    ranks = _ranks(_counts(df, keys, col), descending)
     expr = {
         "rank": F.col("rank_min"),
         "dense": F.col("rank_dense"),
@@ -103,8 +129,11 @@ def with_rank(
             (F.col("rank_min") - 1) / (F.col("n_total") - 1)
         ),
     }[kind]
-    found = ranks.select(key_of(keys).alias("_key"), col, expr.alias(out))
-    return df.withColumn("_key", key_of(keys)).join(found, ["_key", col], "left").select(*df.columns, out)
+    kept = [c for c in df.columns if c != out]
+    key, value = fresh("_key", df), fresh("_value", df)
+    found = ranks.select(F.col("k").alias(key), F.col("v").alias(value), expr.alias(out))
+    rows = df.withColumns({key: key_of(keys), value: F.col(col)}).select(*kept, key, value)
+    return rows.join(found, [key, value], "left").select(*kept, out)
 
 
 def top_n_ties(df: DataFrame, col: str, n: int, rank_as: str | None = None) -> DataFrame:
@@ -126,24 +155,27 @@ def top_n_ties(df: DataFrame, col: str, n: int, rank_as: str | None = None) -> D
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], col: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Exact linear-interpolation quantiles per group.
+    """Exact linear-interpolation quantiles per group; NULL for a group without a value.
 
     The order statistics are picked from running value counts, so no task ever
     holds a group's values in memory (unlike the built-in exact percentile).
     """
-    ranks = value_ranks(df, keys, col)
+    counts = _counts(df, keys, col)
     last = F.col("rank_min") + F.col("n_rows") - 1
     picks, finals = [], []
-    for name, p in probs.items():
+    for i, (name, p) in enumerate(probs.items()):
         pos = F.lit(float(p)) * (F.col("n_total") - 1)
         picks += [
-            F.min(F.when(last > F.floor(pos), F.col(col))).alias(f"_lo_{name}"),
-            F.min(F.when(last > F.ceil(pos), F.col(col))).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_w_{name}"),
+            F.min(F.when(last > F.floor(pos), F.col("v"))).alias(f"lo_{i}"),
+            F.min(F.when(last > F.ceil(pos), F.col("v"))).alias(f"hi_{i}"),
+            F.max(pos - F.floor(pos)).alias(f"w_{i}"),
         ]
-        lo, hi, wt = (F.col(f"_{k}_{name}") for k in ("lo", "hi", "w"))
+        lo, hi, wt = (F.col(f"{k}_{i}") for k in ("lo", "hi", "w"))
         finals.append((lo + wt * (hi - lo)).cast("double").alias(name))
-    return ranks.groupBy(*keys).agg(*picks).select(*keys, *finals)
+    if not keys:
+        return _ranks(counts).agg(*picks).select(*finals)
+    found = _ranks(counts).groupBy("k").agg(*picks)
+    return counts.select("k").distinct().join(found, "k", "left").select(*_unpacked(keys), *finals)
 
 
 def top_dense(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import fresh
 from .ordered import key_of
 
 
@@ -96,17 +97,20 @@ def first_per_key(
 
 def keep_groups_where_all(df: DataFrame, keys: Sequence[str], condition: Column) -> DataFrame:
     """Rows of the groups in which every row meets the condition (NULL fails)."""
+    key = fresh("_key", df)
     good = (
-        df.groupBy(*keys)
+        df.groupBy(key_of(keys).alias(key))
         .agg(F.bool_and(F.coalesce(condition, F.lit(False))).alias("_all"))
         .where("_all")
-        .select(key_of(keys).alias("_key"))
+        .select(key)
     )
-    return df.withColumn("_key", key_of(keys)).join(good, "_key", "left_semi").drop("_key")
+    return df.withColumn(key, key_of(keys)).join(good, key, "left_semi").drop(key)
 
 
 def attach(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Group aggregates on every row: partial aggregation, then an equi-join
-    (whose hot keys adaptive execution can split), never a window."""
-    groups = df.groupBy(key_of(keys).alias("_key")).agg(*[a.alias(n) for n, a in aggs.items()])
-    return df.withColumn("_key", key_of(keys)).join(groups, "_key").drop("_key").select(*keys, *(c for c in df.columns if c not in keys), *aggs)
+    (whose hot keys adaptive execution can split), never a window. A column of the same name is replaced."""
+    key = fresh("_key", df)
+    groups = df.groupBy(key_of(keys).alias(key)).agg(*[a.alias(n) for n, a in aggs.items()])
+    rest = [c for c in df.columns if c not in keys and c not in aggs]
+    return df.select(*keys, *rest).withColumn(key, key_of(keys)).join(groups, key).select(*keys, *rest, *aggs)
