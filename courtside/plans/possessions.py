@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.maths import ratio
 from ..operators.ordered import DEFAULT_WIDTH, bucket_of, lag, lead, ordered_pass
+from ..sources.tables import write_bucketed
 
 
 def prepare_actions(actions: DataFrame) -> DataFrame:
@@ -28,6 +31,24 @@ def prepare_actions(actions: DataFrame) -> DataFrame:
     )
 
 
+#: Keys by which prepared actions are stored so that action trees stay together: a game alone may hold a third of all rows.
+TREE = ("game_id", "parent_action_id")
+
+
+def store_prepared(actions: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Prepared actions as a table bucketed by action tree: :func:`flag_possessions` and :func:`with_parent` read it without an exchange."""
+    return write_bucketed(prepare_actions(actions), name, buckets, TREE, [*TREE, "id"])
+
+
+def with_parent(prepared: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Children of prepared actions beside ``columns`` of their parent (as ``parent_<column>``).
+
+    A parent is its own ``parent_action_id``, so both sides join on the action tree.
+    """
+    parent = prepared.where(F.col("id") == F.col("parent_action_id")).select(*TREE, *[F.col(c).alias(f"parent_{c}") for c in columns])
+    return prepared.where(F.col("id") != F.col("parent_action_id")).join(parent.hint("merge"), list(TREE))
+
+
 def flag_possessions(prepared: DataFrame) -> DataFrame:
     """Possession ends per action tree.
 

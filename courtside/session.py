@@ -8,6 +8,7 @@ column-pruned and lost executors never force the whole chain to be recomputed.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -61,6 +62,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def own_database(spark: SparkSession) -> str:
+    """A database of this session whose tables lie in the shared folder."""
+    name = f"courtside_{re.sub(r'[^A-Za-z0-9]', '_', spark.sparkContext.applicationId)}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name} LOCATION '{checkpoint_root(spark).rstrip('/')}/{name}'")
+    return name
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete the folders of tables that :func:`stage` returned, once nothing that is still to run reads them."""
     for df in staged:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -7,10 +8,13 @@ from pyspark.sql import types as T
 from courtside.functions import text as X
 from courtside.operators import verbs as V
 from courtside.operators.reshape import cut
-from courtside.session import checkpoint_root, stage
+from courtside.operators.sketches import merged, season_sketches
+from courtside.plans import possessions as P
+from courtside.session import checkpoint_root, own_database, stage
 from courtside.sources import json_docs as J
 from courtside.sources import pages as H
 from courtside.sources import tables as S
+from courtside.sources.tables import file_ranges, files_in_order, publish
 
 
 def docs(spark, *bodies):
@@ -85,3 +89,46 @@ def test_csv_and_seasons(spark, tmp_path):
 def test_stage_uses_one_folder(spark):
     a = stage(spark.range(3), "t")
     assert a.count() == 3 and a.inputFiles()[0].split("/courtside/")[0].endswith(checkpoint_root(spark))
+
+
+def test_a_failed_publish_leaves_the_old_table(spark):
+    name = f"{own_database(spark)}.kept"
+    publish(spark.range(20).selectExpr("id", "id % 3 as g"), name, ["g", "id"], 3)
+    failing = spark.range(20).selectExpr("if(id = 7, raise_error('broken'), id) as id", "id % 3 as g")
+    with pytest.raises(Exception, match="broken"):
+        publish(failing, name, ["g", "id"], 3)
+    assert spark.table(name).count() == 20 and not spark.catalog.tableExists(f"{name}_stage") and not spark.catalog.tableExists(f"{name}_old")
+
+
+def test_published_files_are_in_order_and_few_are_read(spark):
+    name = f"{own_database(spark)}.ordered"
+    publish(spark.range(4000).selectExpr("(id * 37) % 4000 as id", "(id * 37) % 4000 div 1000 as g"), name, ["g", "id"], 8)
+    table = spark.table(name)
+    order = files_in_order(table, ["g", "id"]).first()
+    assert order.in_order and order.n_files == 8
+    ranges = [r for r in file_ranges(table, ["g"]).collect() if r.lowest.g <= 2 <= r.highest.g]
+    assert len(ranges) <= 3 and sum(r.n_rows for r in ranges) >= 1000
+    shuffled = spark.range(4000).selectExpr("(id * 37) % 4000 as id", "id % 7 as g").repartition(8)
+    shuffled.write.saveAsTable(f"{name}_not")
+    assert not files_in_order(spark.table(f"{name}_not"), ["g", "id"]).first().in_order
+    assert files_in_order(spark.table(name).where("id < 0"), ["g", "id"]).first().n_files == 0
+
+
+def test_bucketed_trees_need_no_exchange(spark):
+    actions = spark.createDataFrame([(1, i, 0 if i % 4 == 0 else i - i % 4, 1, 100 - i, None, "shot", 1, "2-pt", "made", 2, None, None) for i in range(4, 44)], (
+        "game_id int, id long, parent_action_id long, quarter int, end_game_seconds_remaining int, user_time string, type string, team_id int, "
+        "parameters_type string, parameters_made string, parameters_points int, parameters_free_throw_number int, parameters_free_throws_awarded int"))
+    stored = P.store_prepared(actions, f"{own_database(spark)}.trees", 4)
+    for df in (P.with_parent(stored, ["end_game_seconds_remaining"]), P.flag_possessions(stored)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and df.count() == (30 if "parent_end_game_seconds_remaining" in df.columns else 40)
+    assert rows(P.flag_possessions(stored).drop("user_time")) == rows(P.flag_possessions(P.prepare_actions(actions)).drop("user_time"))
+
+
+def test_merged_sketches_equal_those_of_all_rows(spark):
+    rows_ = spark.range(30_000).selectExpr("id % 5 as season", "id % 7000 as who", "cast(id % 1000 as double) as v")
+    parts = season_sketches(rows_, ["season"], "who", "v").withColumn("all", F.lit(1))
+    got = merged(parts, ["all"], {"med": 0.5, "p90": 0.9}).first()
+    assert got.n == 30_000 and abs(got.n_distinct / 7000 - 1) < 0.03 and abs(got.med - 500) < 20 and abs(got.p90 - 900) < 20
+    empty = season_sketches(spark.createDataFrame([(1, None, None)], "season int, who long, v double"), ["season"], "who", "v").withColumn("all", F.lit(1))
+    assert merged(empty, ["all"], {}).first().n == 1
