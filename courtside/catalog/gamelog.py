@@ -10,7 +10,7 @@ from ..plans import games as G
 from ..plans import pbp as B
 from ..session import stage
 from .adapters import POINTS, actions, events, games, raw_pbp, read
-from .registry import cte, query
+from .registry import ORACLES, cte, query
 
 DEFICIT = 8
 
@@ -178,6 +178,16 @@ def comeback_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+@query("comeback_means", f"""
+SELECT avg(pts_per_poss_off - 112.9) AS mean_diff_off, avg(pts_per_poss_def - 112.9) AS mean_diff_def, count(*) AS n_games,
+  sum(total_poss_off::DOUBLE / total_team_poss_off * (pts_per_poss_off - 112.9)) AS weighted_off,
+  sum(total_poss_def::DOUBLE / total_team_poss_def * (pts_per_poss_def - 112.9)) AS weighted_def
+FROM ({ORACLES["comeback_efficiency"].replace("round(pts_per_poss_off, 6)", "pts_per_poss_off").replace("round(pts_per_poss_def, 6)", "pts_per_poss_def")})""")
+def comeback_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = staged_log(spark, sf_dir)
+    return G.comeback_means(G.comeback_efficiency(log, G.comeback_windows(log, DEFICIT)))
+
+
 cte("led", """
 SELECT season, game_id, max(CASE WHEN abs(home_score - away_score) >= 8 AND qtr < 3 THEN clock END) AS first_big,
   min(CASE WHEN abs(home_score - away_score) >= 8 AND qtr < 3 THEN clock END) AS last_big
@@ -317,6 +327,24 @@ def scoring_droughts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("scoring_droughts_by_season", """
+SELECT game_id, id, season, season_type, time_no_score, dense_rank() OVER (PARTITION BY season, season_type ORDER BY time_no_score DESC) AS rank_time
+FROM (SELECT *, rank() OVER (PARTITION BY season, season_type ORDER BY time_no_score DESC) AS rk FROM (
+  SELECT game_id, id, season, season_type, abs(clock - lag(clock) OVER (PARTITION BY game_id ORDER BY id)) AS time_no_score
+  FROM (SELECT *, CASE WHEN score_diff = 0 AND prev <> 0 THEN 'start_stint' WHEN score_diff <> 0 AND prev = 0 THEN 'end_stint' END AS stint_type
+    FROM (SELECT *, lag(score_diff) OVER (PARTITION BY game_id ORDER BY id) AS prev
+      FROM (SELECT game_id, id, season, game_id % 2 + 2 AS season_type, clock,
+          home_score + away_score - lag(home_score + away_score) OVER (PARTITION BY game_id ORDER BY id) AS score_diff FROM {scores})))
+  WHERE stint_type IS NOT NULL) WHERE time_no_score IS NOT NULL AND time_no_score <> 300)
+WHERE rk <= 10""")
+def scoring_droughts_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten longest of every season and type (playoffs on odd days), ties of the tenth kept."""
+    scores = score_log(spark, sf_dir).withColumns(
+        {"total_score": F.col("home_score") + F.col("away_score"), "season_type": F.col("game_id") % 2 + 2})
+    return G.scoring_droughts(stage(scores, "scores"), n=10, within=["season", "season_type"]).select(
+        "game_id", "id", "season", "season_type", "time_no_score", "rank_time")
+
+
 @query("buzzer_beaters", """
 SELECT team_offense, count(*) AS n_shots, count(*) FILTER (WHERE has_won) AS n_won FROM {textlog}
 WHERE time >= 2880 - 1500 AND has_made AND points > 0 AND adv > 0 AND adv <= points GROUP BY team_offense""")

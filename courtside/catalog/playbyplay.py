@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from ..plans import lineups as L
 from ..plans import onoff as O
 from ..plans import pbp as B
 from ..plans import possessions as P
-from ..session import stage
+from ..session import checkpoint_root, stage
+from ..sources.tables import read_sheet, write_csv
 from .adapters import SUB_EVENTS, actions, rosters, schedule
-from .registry import cte, query
+from .registry import ORACLES, cte, query
 
 SIDED_KEEP = ["id", "game_id", "quarter", "type", "team_score", "final_end_poss", "segment_id"]
 WANTED_TEAMS = ["Team 1"]
@@ -163,7 +166,7 @@ def stint_table(acts: DataFrame, lineups: DataFrame) -> DataFrame:
 
 
 def assigned_table(acts: DataFrame, stints: DataFrame) -> DataFrame:
-    return L.assign_stints(P.possessions(acts), stints)
+    return L.assign_stints(P.possessions(acts), stage(stints, "stints"))
 
 
 def game_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -324,6 +327,18 @@ def on_off_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("on_off_export", ORACLES["on_off_percentiles"])
+def on_off_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The display as the sorted file that users download, read back."""
+    shown = O.on_off_display(stage(_table(spark, sf_dir, None, None), "on_off_table"))
+    shown = shown.select(
+        "player_id", "team_id", "total_net_rtg", "team_name", "last_name", "first_name",
+        *[F.round(f"pct_{m}", 6).alias(f"pct_{m}") for m in [*O.HIGHER_BETTER, *O.LOWER_BETTER]])
+    path = f"{checkpoint_root(spark).rstrip('/')}/courtside/on_off_export-{uuid.uuid4().hex}"
+    write_csv(shown, path, [F.desc("total_net_rtg"), "team_name", "last_name", "first_name"])
+    return read_sheet(spark, path, shown.schema).drop("team_name", "last_name", "first_name")
+
+
 @query("lineup_leaderboard", """
 SELECT player_id, team_id, lineup_hash, type_lineup, total_pts::BIGINT AS total_pts,
   total_poss::BIGINT AS total_poss, round(total_pts::DOUBLE / total_poss::DOUBLE, 6) AS pts_per_poss, first_name, last_name

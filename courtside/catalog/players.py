@@ -262,6 +262,11 @@ FROM (SELECT l_partkey AS player, s_nationkey AS coach, count(DISTINCT l_suppkey
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
 GROUP BY coach HAVING count(*) FILTER (WHERE total_teams >= 2) > 0""")
 def coach_reunions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.coach_player_reunions(*_coached(spark, sf_dir)), "pct_over_2")
+
+
+def _coached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(player seasons, coaches)"""
     seasons = read(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("player"), F.col("l_suppkey").cast("string").alias("team_id"),
         F.year("l_shipdate").alias("year"),
@@ -271,7 +276,23 @@ def coach_reunions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_nationkey").alias("coach"),
         F.explode(F.sequence(F.lit(1995), F.lit(2002)).cast("array<string>")).alias("season"),
     )
-    return rounded(P.coach_player_reunions(seasons, P.clean_coaches(links)), "pct_over_2")
+    return seasons, P.clean_coaches(links)
+
+
+@query("coach_reunions_succession", """
+WITH step AS (SELECT CAST(s_suppkey AS VARCHAR) AS team_id, CAST(CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey + 1 ELSE s_suppkey + 2 END AS VARCHAR) AS next_team
+  FROM supplier WHERE s_suppkey % 5 < 2),
+met AS (SELECT DISTINCT l_partkey AS player, s_nationkey AS coach, coalesce(b.next_team, a.next_team, CAST(l_suppkey AS VARCHAR)) AS team_id
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN step a ON a.team_id = CAST(l_suppkey AS VARCHAR) LEFT JOIN step b ON b.team_id = a.next_team)
+SELECT coach, count(*) AS total_players, count(*) FILTER (WHERE total_teams >= 2) AS total_players_over_2,
+  round(count(*) FILTER (WHERE total_teams >= 2)::DOUBLE / count(*), 6) AS pct_over_2
+FROM (SELECT player, coach, count(*) AS total_teams FROM met GROUP BY ALL) GROUP BY coach HAVING count(*) FILTER (WHERE total_teams >= 2) > 0""")
+def coach_reunions_succession(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above with franchises that were renamed, some of them twice: the dimension is joined two times."""
+    team = F.col("s_suppkey")
+    succession = read(spark, sf_dir, "supplier").where(team % 5 < 2).select(
+        team.cast("string").alias("team_id"), F.when(team % 5 == 0, team + 1).otherwise(team + 2).cast("string").alias("next_team"))
+    return rounded(P.coach_player_reunions(*_coached(spark, sf_dir), succession), "pct_over_2")
 
 
 RULES = ((1996, "0001"), (1997, "0012"), (1999, "0003"))
@@ -305,12 +326,13 @@ def first_selection_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("decade_means", """
 SELECT decade, count(*) AS num_first, round(sum(age)::DOUBLE / count(*), 6) AS mean_age, round(sum(exp)::DOUBLE / count(*), 6) AS mean_exp,
-  round(sum(mp)::DOUBLE / sum(g), 6) AS mean_min, round(sum(pts)::DOUBLE / sum(g), 6) AS mean_pts
+  round(sum(mp)::DOUBLE / sum(g), 6) AS mean_min, round(sum(pts)::DOUBLE / sum(g), 6) AS mean_pts,
+  round(sum(fg)::DOUBLE / sum(fga), 6) AS mean_pct, round(sum(trb)::DOUBLE / sum(g), 6) AS mean_reb, round(sum(ast)::DOUBLE / sum(g), 6) AS mean_ast
 FROM (SELECT *, year - start_year + 1 AS exp, CASE WHEN year > 1979 AND year <= 1989 THEN '80s' WHEN year > 1989 AND year <= 1999 THEN '90s'
     WHEN year > 1999 AND year <= 2009 THEN '00s' WHEN year > 2009 AND year <= 2023 THEN '10s' END AS decade
   FROM (SELECT * FROM {selected} WHERE is_first) JOIN (
     SELECT c_name AS name, year(o_orderdate) AS year, max(c_custkey % 20 + 19) AS age, count(*) * 30 AS mp, count(*) AS g,
-      sum(o_orderkey % 40) AS pts, max(1990) AS start_year
+      sum(o_orderkey % 40) AS pts, max(1990) AS start_year, sum(o_orderkey % 9) AS fg, sum(o_orderkey % 9 + 8) AS fga, sum(o_orderkey % 13) AS trb, sum(o_orderkey % 7) AS ast
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) USING (name, year))
 WHERE decade IS NOT NULL GROUP BY decade""")
 def decade_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,10 +346,14 @@ def decade_means(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("g"),
             F.sum(F.col("o_orderkey") % 40).alias("pts"),
             F.lit(1990).alias("start_year"),
+            F.sum(F.col("o_orderkey") % 9).alias("fg"),
+            F.sum(F.col("o_orderkey") % 9 + 8).alias("fga"),
+            F.sum(F.col("o_orderkey") % 13).alias("trb"),
+            F.sum(F.col("o_orderkey") % 7).alias("ast"),
         )
     )
     marked = P.allstar_first_time(_selections(spark, sf_dir), RULES)
-    return rounded(P.decade_means(marked, stats), "mean_age", "mean_exp", "mean_min", "mean_pts")
+    return rounded(P.decade_means(marked, stats), "mean_age", "mean_exp", "mean_min", "mean_pts", "mean_pct", "mean_reb", "mean_ast")
 
 
 # ---- game logs -------------------------------------------------------------
@@ -350,18 +376,18 @@ cte("team_days", "SELECT user_id % 2 AS team_id, CAST(ts AS DATE) AS game_date,
 
 
 @query("played_vs_missed", """
-WITH played AS (SELECT DISTINCT user_id % 2 AS team_id, CAST(ts AS DATE) AS game_date, user_id AS player FROM {ev} WHERE event_type = 'purchase'),
-grid AS (SELECT p.team_id, p.player, t.game_date, t.rate, pl.player IS NOT NULL AS has_played
+WITH played AS (SELECT user_id % 2 AS team_id, CAST(ts AS DATE) AS game_date, user_id AS player, avg(k) AS own FROM {ev} WHERE event_type = 'purchase' GROUP BY ALL),
+grid AS (SELECT p.team_id, p.player, t.game_date, t.rate, pl.own, pl.player IS NOT NULL AS has_played
   FROM (SELECT DISTINCT team_id, player FROM played) p JOIN {team_days} t USING (team_id)
   LEFT JOIN played pl ON pl.team_id = p.team_id AND pl.player = p.player AND pl.game_date = t.game_date),
-sums AS (SELECT team_id, player, count(*) FILTER (WHERE has_played) AS games_played_true,
+sums AS (SELECT team_id, player, avg(own) AS mean_own, count(*) FILTER (WHERE has_played) AS games_played_true,
     count(*) FILTER (WHERE NOT has_played) AS games_played_false,
     sum(rate) FILTER (WHERE has_played) / count(*) FILTER (WHERE has_played) AS mean_true,
     sum(rate) FILTER (WHERE NOT has_played) / nullif(count(*) FILTER (WHERE NOT has_played), 0) AS mean_false
   FROM grid GROUP BY ALL)
-SELECT team_id, player, games_played_true, games_played_false, round(mean_true, 6) AS mean_true, round(mean_false, 6) AS mean_false, on_off, rank_passing
+SELECT team_id, player, games_played_true, games_played_false, round(mean_true, 6) AS mean_true, round(mean_false, 6) AS mean_false, round(mean_own, 6) AS mean_own, on_off, rank_passing
 FROM (SELECT *, dense_rank() OVER (ORDER BY on_off DESC) AS rank_passing
-  FROM (SELECT *, round(mean_true - mean_false, 6) AS on_off FROM sums WHERE games_played_false >= 5 AND games_played_true > 5))
+  FROM (SELECT *, round(mean_true - mean_false, 6) AS on_off FROM sums WHERE games_played_false >= 5 AND games_played_true > 5 AND mean_own >= 50))
 WHERE rank_passing <= 15""")
 def played_vs_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).select(
@@ -370,8 +396,8 @@ def played_vs_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     team_games = ev.groupBy("team_id", "game_date").agg(F.sum("k").cast("double").alias("rate"))
     played = ev.where(F.col("event_type") == "purchase")
-    out = P.played_vs_missed(team_games, played, min_played=5, min_missed=5)
-    return rounded(out, "mean_true", "mean_false")
+    out = P.played_vs_missed(team_games, played, min_played=5, min_missed=5, own="k", min_own=50)
+    return rounded(out, "mean_true", "mean_false", "mean_own")
 
 
 @query("win_loss_shift", """
@@ -438,15 +464,20 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("matchup_bins", """
 WITH m AS (SELECT l_returnflag AS team_id, year(l_shipdate) AS year, p_size % 25 + 68 AS ho, (s_suppkey % 25 + 68) AS hd,
-    l_quantity AS poss, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS blk
+    l_quantity AS poss, CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END AS blk, l_linenumber % 5 + 2 AS fga, l_linenumber % 2 + 1 AS fgm, l_linenumber % 3 AS fg3a,
+    l_linenumber % 3 // 2 AS fg3m, l_linenumber AS pts, l_linenumber + 2 AS team_pts
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)
 SELECT *, round(sum_blk::DOUBLE / sum_poss, 6) AS blocks_per_poss, round(f, 6) AS freq,
+  round(sum_fgm::DOUBLE / sum_fga, 6) AS fg_pct, round((sum_fgm - sum_fg3m)::DOUBLE / (sum_fga - sum_fg3a), 6) AS two_pct, round(sum_fg3m::DOUBLE / sum_fg3a, 6) AS three_pct,
+  round(sum_pts::DOUBLE / sum_poss, 6) AS pts_per_poss_player, round(sum_team_pts::DOUBLE / sum_poss, 6) AS pts_per_poss_team, round(sum_fga::DOUBLE / sum_poss, 6) AS shot_freq,
   round(f - lag(f) OVER (PARTITION BY team_id, type_diff ORDER BY year), 6) AS diff_freq
-FROM (SELECT team_id, year, type_diff, sum(poss)::BIGINT AS sum_poss, sum(blk)::BIGINT AS sum_blk,
+FROM (SELECT team_id, year, type_diff, sum(poss)::BIGINT AS sum_poss, sum(blk)::BIGINT AS sum_blk, sum(fga)::BIGINT AS sum_fga, sum(fgm)::BIGINT AS sum_fgm,
+    sum(fg3a)::BIGINT AS sum_fg3a, sum(fg3m)::BIGINT AS sum_fg3m, sum(pts)::BIGINT AS sum_pts, sum(team_pts)::BIGINT AS sum_team_pts,
     sum(poss)::DOUBLE / sum(sum(poss)) OVER (PARTITION BY team_id, year) AS f
   FROM (SELECT *, CASE WHEN ho - hd >= 3 THEN 'up' WHEN ho - hd <= -3 THEN 'down' ELSE 'same' END AS type_diff FROM m WHERE ho > 67 AND ho <= 92)
   GROUP BY team_id, year, type_diff)""".replace("SELECT *, round(sum_blk", "SELECT * EXCLUDE (f), round(sum_blk"))
 def matchup_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber")
     rows = (
         read(spark, sf_dir, "lineitem")
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -455,16 +486,21 @@ def matchup_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_returnflag").alias("team_id"), F.year("l_shipdate").alias("year"),
             (F.col("p_size") % 25 + 68).alias("height_off"), (F.col("s_suppkey") % 25 + 68).alias("height_def"),
             F.col("l_quantity").cast("long").alias("poss"), (F.col("l_discount") > 0.05).cast("int").alias("blk"),
+            (line % 5 + 2).alias("fga"), (line % 2 + 1).alias("fgm"), (line % 3).alias("fg3a"), F.expr("l_linenumber % 3 div 2").alias("fg3m"),
+            line.alias("pts"), (line + 2).alias("team_pts"),
         )
     )
-    return rounded(P.matchup_height(rows, ["poss", "blk"]), "freq", "blocks_per_poss", "diff_freq")
+    out = P.matchup_height(rows, ["poss", "blk", "fga", "fgm", "fg3a", "fg3m", "pts", "team_pts"])
+    return rounded(out, "freq", "blocks_per_poss", "diff_freq", "fg_pct", "two_pct", "three_pct", "pts_per_poss_player", "pts_per_poss_team", "shot_freq")
 
 
 @query("matchup_blocks", """
-WITH p AS (SELECT p_brand AS off_player, s_suppkey AS def_player, count(*) AS total_blocks, sum(l_quantity)::BIGINT AS total_poss
+WITH p AS (SELECT l_returnflag AS team_id, year(l_shipdate) AS year, CASE WHEN p_size % 25 + 68 > 87 THEN '(87,92]' WHEN p_size % 25 + 68 > 82 THEN '(82,87]'
+    WHEN p_size % 25 + 68 > 77 THEN '(77,82]' WHEN p_size % 25 + 68 > 72 THEN '(72,77]' ELSE '(67,72]' END AS height_bin,
+    p_brand AS off_player, s_suppkey AS def_player, count(*) AS total_blocks, sum(l_quantity)::BIGINT AS total_poss
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
   WHERE (p_size % 25 + 68) - (s_suppkey % 25 + 68) >= 3 AND l_discount > 0.05 GROUP BY ALL HAVING sum(l_quantity) >= 30)
-SELECT off_player, def_player, total_blocks, total_poss, round(r, 6) AS blocks_per_poss, rank_blk FROM (
+SELECT team_id, year, height_bin, off_player, def_player, total_blocks, total_poss, round(r, 6) AS blocks_per_poss, rank_blk FROM (
   SELECT *, total_blocks::DOUBLE / total_poss AS r, dense_rank() OVER (ORDER BY total_blocks::DOUBLE / total_poss DESC) AS rank_blk FROM p)
 WHERE rank_blk <= 100""")
 def matchup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -473,24 +509,27 @@ def matchup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
+            F.col("l_returnflag").alias("team_id"), F.year("l_shipdate").alias("year"),
             F.col("p_brand").alias("off_player"), F.col("s_suppkey").alias("def_player"),
             (F.col("p_size") % 25 + 68).alias("height_off"), (F.col("s_suppkey") % 25 + 68).alias("height_def"),
             F.col("l_quantity").cast("long").alias("poss"), (F.col("l_discount") > 0.05).cast("int").alias("blk"),
         )
     )
-    return rounded(P.matchup_blocks(rows), "blocks_per_poss")
+    return rounded(P.matchup_blocks(rows, keys=["team_id", "year", "height_bin"]), "blocks_per_poss")
 
 
 RATE_SQL = {
     "pts": "pts / poss", "fga": "fga / poss", "teampts": "team_pts / poss", "pct": "fgm / fga", "ast": "ast / poss",
     "tov": "tov / poss", "fta": "fta / poss", "ts": "pts / (2 * (fga + 0.44 * fta))", "ts_att": "2 * (fga + 0.44 * fta) / poss",
+    "fg3a": "fg3a / poss", "fg3m": "fg3m / poss",
 }
 
 
 @query("defender_effect", """
 WITH m AS (SELECT p_brand AS player, g.s_suppkey IS NOT NULL AS best_defender, sum(l_quantity)::DOUBLE AS poss, sum(l_linenumber)::DOUBLE AS pts,
     sum(l_linenumber + 2)::DOUBLE AS team_pts, sum(l_linenumber % 3 + 1)::DOUBLE AS fga, sum(l_linenumber % 2)::DOUBLE AS fgm,
-    sum(l_partkey % 3)::DOUBLE AS ast, sum(l_suppkey % 2)::DOUBLE AS tov, sum(l_orderkey % 4)::DOUBLE AS fta
+    sum(l_partkey % 3)::DOUBLE AS ast, sum(l_suppkey % 2)::DOUBLE AS tov, sum(l_orderkey % 4)::DOUBLE AS fta,
+    sum(l_partkey % 4)::DOUBLE AS fg3a, sum(l_partkey % 4 // 2)::DOUBLE AS fg3m
   FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN (SELECT DISTINCT s_suppkey FROM supplier WHERE s_acctbal > 5000) g ON l_suppkey = g.s_suppkey
   GROUP BY ALL),
 r AS (SELECT player, best_defender, poss::BIGINT AS total_poss, """ + ", ".join(f"{e} AS {n}" for n, e in RATE_SQL.items()) + """ FROM m)
@@ -509,6 +548,7 @@ def defender_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("player"), "best_defender", F.col("l_quantity").cast("long").alias("poss"),
         line.alias("pts"), (line + 2).alias("team_pts"), (line % 3 + 1).alias("fga"), (line % 2).alias("fgm"),
         (F.col("l_partkey") % 3).alias("ast"), (F.col("l_suppkey") % 2).alias("tov"), (F.col("l_orderkey") % 4).alias("fta"),
+        (F.col("l_partkey") % 4).alias("fg3a"), F.expr("l_partkey % 4 div 2").alias("fg3m"),
     )
     cols = [f"{n}_{s}" for s in ("rate", "prev") for n in RATE_SQL]
     out = P.defender_effect(rows).select("player", "best_defender", "total_poss", *cols)

@@ -13,7 +13,7 @@ from ..functions.maths import ratio, shot_weight
 from ..operators.ordered import (
     DEFAULT_WIDTH, bucket_of, lag, ordered_pass, running, with_block,
 )
-from ..operators.ranking import exact_quantiles, top_n_ties
+from ..operators.ranking import exact_quantiles, top_n_ties, with_rank
 from ..operators.reshape import mirror
 from ..operators.verbs import first_per_key
 from ..session import stage
@@ -263,6 +263,13 @@ def day_part_win_pct(
     )
 
 
+def comeback_means(sides: DataFrame) -> DataFrame:
+    """Closing row of :func:`comeback_efficiency`: plain means of both gaps to the league, and the weighted ones in all."""
+    return sides.agg(
+        F.avg("diff_off").alias("mean_diff_off"), F.avg("diff_def").alias("mean_diff_def"),
+        F.sum("weighted_off").alias("weighted_off"), F.sum("weighted_def").alias("weighted_def"), F.count(F.lit(1)).alias("n_games"))
+
+
 # ---- droughts --------------------------------------------------------------
 
 
@@ -272,8 +279,9 @@ def scoring_droughts(
     max_qtr: int = 4,
     period_break: float = 300.0,
     width: int = DEFAULT_WIDTH,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Longest stretches without a score change, ties of the n-th kept.
+    """Longest stretches without a score change, ties of the n-th kept; with ``within`` (season, season_type) the longest of each such group.
 
     ``scores`` (read twice): game_id, season, season_type, qtr, id, total_score,
     clock. The change and a dense position come from one ordered pass, the
@@ -302,7 +310,11 @@ def scoring_droughts(
         edges, keys, ["id"], bucket_of("id", width), {"_prev_clock": lag("clock")}
     ).withColumn("time_no_score", F.abs(F.col("clock") - F.col("_prev_clock")))
     real = timed.where(F.col("time_no_score") != period_break).drop("_prev_clock")
-    return top_n_ties(stage(real, "droughts"), "time_no_score", n, rank_as="rank_time")
+    real = stage(real, "droughts")
+    if not within:
+        return top_n_ties(real, "time_no_score", n, rank_as="rank_time")
+    placed = with_rank(with_rank(real, within, "time_no_score", "_place", "rank", True), within, "time_no_score", "rank_time", "dense", True)
+    return placed.where(F.col("_place") <= n).drop("_place")
 
 
 # ---- endings ---------------------------------------------------------------

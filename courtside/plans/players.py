@@ -336,7 +336,8 @@ def first_share(marked: DataFrame) -> DataFrame:
 def decade_means(marked: DataFrame, stats: DataFrame) -> DataFrame:
     """First-time selections by decade: age, experience and per-game means.
 
-    ``stats``: name, year, age, mp, g, pts, start_year.
+    ``stats``: name, year, age, mp, g, pts, start_year; with fg and fga also the share of shots made, with
+    trb and ast rebounds and assists per game.
     """
     rows = marked.where("is_first").join(stats, ["name", "year"]).withColumns(
         {
@@ -344,9 +345,12 @@ def decade_means(marked: DataFrame, stats: DataFrame) -> DataFrame:
             "exp": F.col("year") - F.col("start_year") + 1,
         }
     ).where(F.col("decade").isNotNull())
+    more = {"mean_pct": ("fg", "fga"), "mean_reb": ("trb", "g"), "mean_ast": ("ast", "g")}
+    more = {name: pair for name, pair in more.items() if set(pair) <= set(stats.columns)}
+    summed = dict.fromkeys(["age", "exp", "mp", "g", "pts", *(c for pair in more.values() for c in pair)])
     sums = rows.groupBy("decade").agg(
         F.count(F.lit(1)).alias("num_first"),
-        *[F.sum(c).alias(f"_{c}") for c in ("age", "exp", "mp", "g", "pts")],
+        *[F.sum(c).alias(f"_{c}") for c in summed],
     )
     mean = lambda num, den: ratio(F.col(num), F.col(den))
     return sums.select(
@@ -355,6 +359,7 @@ def decade_means(marked: DataFrame, stats: DataFrame) -> DataFrame:
         mean("_exp", "num_first").alias("mean_exp"),
         mean("_mp", "_g").alias("mean_min"),
         mean("_pts", "_g").alias("mean_pts"),
+        *[mean(f"_{a}", f"_{b}").alias(name) for name, (a, b) in more.items()],
     )
 
 
@@ -380,30 +385,35 @@ def played_vs_missed(
     min_played: int = 20,
     min_missed: int = 5,
     top: int = 15,
+    own: str | None = None,
+    min_own: float = 0.0,
 ) -> DataFrame:
     """Team rate in the games a player played against those missed, best ranks.
 
     ``team_games``: team_id, game_date, rate; ``played``: team_id, game_date,
     player. Missed games are the team's totals minus the player's, so the
-    player x date grid is never built.
+    player x date grid is never built. With ``own``, a column of ``played``, a player also needs a mean of ``min_own`` of
+    it over the games played, which comes out as ``mean_own``.
     """
+    per_game = played.groupBy("team_id", "game_date", "player").agg((F.avg(own) if own else F.lit(0.0)).alias("_own"))
     totals = team_games.groupBy("team_id").agg(
         F.sum("rate").alias("_sum"), F.count("rate").alias("_n")
     )
     on = (
-        played.select("team_id", "game_date", "player").distinct()
-        .join(team_games, ["team_id", "game_date"])
+        per_game.join(team_games, ["team_id", "game_date"])
         .groupBy("team_id", "player")
-        .agg(F.sum("rate").alias("_on"), F.count("rate").alias("games_played_true"))
+        .agg(F.sum("rate").alias("_on"), F.count("rate").alias("games_played_true"), F.avg("_own").alias("mean_own"))
     )
     missed = F.col("_n") - F.col("games_played_true")
     both = on.join(totals, "team_id").select(
         "team_id", "player", "games_played_true", missed.alias("games_played_false"),
         ratio(F.col("_on"), F.col("games_played_true")).alias("mean_true"),
         ratio(F.col("_sum") - F.col("_on"), missed).alias("mean_false"),
+        *(["mean_own"] if own else []),
     )
+    enough = F.col("mean_own") >= min_own if own else F.lit(True)
     kept = both.where(
-        (F.col("games_played_false") >= min_missed) & (F.col("games_played_true") > min_played)
+        (F.col("games_played_false") >= min_missed) & (F.col("games_played_true") > min_played) & enough
     ).withColumn("on_off", F.round(F.col("mean_true") - F.col("mean_false"), 6))
     return top_dense(stage(kept, "played_vs_missed"), "on_off", top, "rank_passing")
 
@@ -437,7 +447,9 @@ def matchup_height(
     step: int = 3,
 ) -> DataFrame:
     """Matchup totals by team, year and height gap (up / same / down), with the
-    share of possessions and its change from the year before."""
+    share of possessions and its change from the year before.
+
+    Rates of shooting and scoring come along for whatever of fga, fgm, fg3a, fg3m, pts and team_pts is summed."""
     gap = F.col("height_off") - F.col("height_def")
     kind = F.when(gap >= step, "up").when(gap <= -step, "down").otherwise("same")
     totals = (
@@ -454,19 +466,33 @@ def matchup_height(
             "blocks_per_poss": ratio(F.col("sum_blk"), F.col("sum_poss")),
         }
     )
+    total = lambda c: F.col(f"sum_{c}")
+    rates = {
+        "fg_pct": (("fgm", "fga"), lambda: ratio(total("fgm"), total("fga"))),
+        "two_pct": (("fgm", "fga", "fg3m", "fg3a"), lambda: ratio(total("fgm") - total("fg3m"), total("fga") - total("fg3a"))),
+        "three_pct": (("fg3m", "fg3a"), lambda: ratio(total("fg3m"), total("fg3a"))),
+        "pts_per_poss_player": (("pts",), lambda: ratio(total("pts"), total("poss"))),
+        "pts_per_poss_team": (("team_pts",), lambda: ratio(total("team_pts"), total("poss"))),
+        "shot_freq": (("fga",), lambda: ratio(total("fga"), total("poss"))),
+    }
+    shared = shared.withColumns({name: rate() for name, (needs, rate) in rates.items() if set(needs) <= set(sums)})
     # one row per year: a team's window is as long as its number of seasons
     years = Window.partitionBy("team_id", "type_diff").orderBy("year")
     return shared.withColumn("diff_freq", F.col("freq") - F.lag("freq").over(years))
 
 
 def matchup_blocks(
-    matchups: DataFrame, min_poss: float = 30, step: int = 3, top: int = 100
+    matchups: DataFrame, min_poss: float = 30, step: int = 3, top: int = 100,
+    keys: Sequence[str] = (), breaks: Sequence[float] = tuple(range(67, 93, 5)),
 ) -> DataFrame:
     """Attacker-defender pairs with a height edge for the attacker and blocked
-    shots: blocks per possession, the best ``top`` rates with their dense rank."""
+    shots: blocks per possession, the best ``top`` rates with their dense rank.
+
+    ``keys`` tell pairs apart further: columns of ``matchups``, or ``height_bin``, the attacker's height cut at ``breaks``."""
     pairs = (
-        matchups.where((F.col("height_off") - F.col("height_def") >= step) & (F.col("blk") > 0))
-        .groupBy("off_player", "def_player")
+        matchups.withColumn("height_bin", cut("height_off", breaks))
+        .where((F.col("height_off") - F.col("height_def") >= step) & (F.col("blk") > 0))
+        .groupBy(*keys, "off_player", "def_player")
         .agg(F.sum("blk").alias("total_blocks"), F.sum("poss").alias("total_poss"))
         .where(F.col("total_poss") >= min_poss)
         .withColumn("blocks_per_poss", ratio(F.col("total_blocks"), F.col("total_poss")))
@@ -480,26 +506,29 @@ RATES = {
     "ast": ("total_ast", "total_poss"), "tov": ("total_tov", "total_poss"),
     "fta": ("total_fta", "total_poss"), "ts": ("total_pts", "ts_shot_att"),
     "ts_att": ("ts_shot_att", "total_poss"),
+    "fg3a": ("total_fg3a", "total_poss"), "fg3m": ("total_fg3m", "total_poss"),
 }
 
 
 def defender_effect(matchups: DataFrame, flag: str = "best_defender") -> DataFrame:
     """Rates of each player against flagged and other defenders, and the gaps.
 
-    The gap window holds the two rows of a player.
+    The gap window holds the two rows of a player. Three-point rates come along where fg3a and fg3m are there.
     """
-    cols = ("poss", "pts", "team_pts", "fga", "fgm", "ast", "tov", "fta")
+    threes = [c for c in ("fg3a", "fg3m") if c in matchups.columns]
+    cols = ("poss", "pts", "team_pts", "fga", "fgm", "ast", "tov", "fta", *threes)
     totals = matchups.groupBy("player", flag).agg(
         *[F.sum(c).alias(f"total_{c}") for c in cols]
     ).withColumn(
         "ts_shot_att", 2 * (F.col("total_fga") + FREE_THROW_WEIGHT * F.col("total_fta"))
     )
+    rates = {n: of for n, of in RATES.items() if n not in ("fg3a", "fg3m") or n in threes}
     rated = totals.withColumns(
-        {f"{n}_rate": ratio(F.col(a), F.col(b)) for n, (a, b) in RATES.items()}
+        {f"{n}_rate": ratio(F.col(a), F.col(b)) for n, (a, b) in rates.items()}
     )
     pair = Window.partitionBy("player").orderBy(flag)
     return rated.withColumns(
-        {f"{n}_prev": F.col(f"{n}_rate") - F.lag(f"{n}_rate").over(pair) for n in RATES}
+        {f"{n}_prev": F.col(f"{n}_rate") - F.lag(f"{n}_rate").over(pair) for n in rates}
     )
 
 
