@@ -29,6 +29,14 @@ def byte_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_TABLE).split()
 
 
+class Numbers(dict):
+    """Numbers words by first appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, since a text may be very long (a setting of the user's own stays), and let workers find this package."""
     env = spark.sparkContext.environment

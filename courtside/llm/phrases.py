@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from courtside.llm.common import LOWER_TABLE, bit_table, is_set, small_batches, table_bits
+from courtside.llm.common import LOWER_TABLE, Numbers, bit_table, is_set, small_batches, table_bits
 from courtside.session import stage
 
 DEPTH = 5
@@ -45,14 +45,6 @@ def pieces(text: str) -> list[list[bytes]]:
     return [p.split() for p in text.encode().translate(_LOWER_AND_ENDS).split(b"\n")]
 
 
-class Words(dict):
-    """Numbers words by first appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def word_ids(lang: str, words: list[bytes], seed: int) -> np.ndarray:
     """64-bit ids of words of one language, never 0 (which stands for the end of a piece)."""
     key = xxhash.xxh64_intdigest(lang, seed)
@@ -74,11 +66,11 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _tokens(batch: pa.RecordBatch, seed: int) -> np.ndarray:
     """The ids of all words of a batch in order, with a 0 after every piece."""
-    vocabulary: dict[str, Words] = {}
+    vocabulary: dict[str, Numbers] = {}
     flat: list[int] = []
     blocks = []
     for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-        of = vocabulary.setdefault(lang, Words({b"": 0}))
+        of = vocabulary.setdefault(lang, Numbers({b"": 0}))
         start = len(flat)
         for piece in pieces(text):
             flat.extend(map(of.__getitem__, piece))

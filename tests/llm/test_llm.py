@@ -572,6 +572,48 @@ def test_class_lm_base_scores_and_held_out_gain(docs):
         assert r.base_score == pytest.approx(sum(math.log10((c[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), rel=1e-9)
     out = [i for i in tokens if held[i]]
     assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
+    # of the training tokens, all words that occur three times or more are exchanged one by one
+    assert sum(k for t, k in c.items() if k >= 3) > 0.6 * n
+
+
+def test_class_scores_do_not_depend_on_splits(spark, docs):
+    runs = [{r.doc_id: r.score for r in class_lm.score(docs.repartition(parts, "doc_id") if parts > 1 else docs.coalesce(1), n_classes=8, rounds=2, share=2e-3, bucket_words=20_000).collect()}
+            for parts in (1, 16)]
+    assert runs[0].keys() == runs[1].keys() and max(abs(runs[0][i] - runs[1][i]) for i in runs[0]) < 1e-6
+
+
+def test_frequent_words_are_exact(spark):
+    texts = ["a " * 50 + "b " * 30 + " ".join(f"x{i}" for i in range(20)), "c " * 12 + " ".join(f"y{i}" for i in range(88)), "b b b"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    reported, n = class_lm.frequent_words(frame, 0.1)
+    assert n == 203 and {b"a", b"b"} <= set(reported)
+    pairs, units = class_lm.settled(class_lm.bigrams(frame, class_lm.Units(reported)), reported, 0.1 * n)
+    assert set(units.own) == {b"a", b"b"} and pairs.agg(F.sum("n")).first()[0] == n + 3
+
+
+def test_targets_equal_brute_force():
+    rng = np.random.default_rng(8)
+    classes, words = 4, 30
+    of = np.append(rng.integers(0, classes - 1, words - 1), classes - 1)
+    pairs = rng.integers(0, 20, (words, words)) * (rng.random((words, words)) < 0.5)
+    np.fill_diagonal(pairs, 0)  # no word follows itself
+
+    def likelihood(of):
+        m = np.zeros((classes, classes))
+        np.add.at(m, (of[:, None], of[None, :]), pairs)
+        return class_lm._xlogx(m).sum() - class_lm._xlogx(m.sum(1)).sum() - class_lm._xlogx(m.sum(0)).sum(), m
+
+    _, m = likelihood(of)
+    one = np.eye(classes)[of]
+    got = class_lm.targets(pairs.T @ one, pairs @ one, of, m)
+    for w in range(words - 1):
+        values = [likelihood(np.where(np.arange(words) == w, c, of))[0] for c in range(classes - 1)]
+        assert values[got[w]] == pytest.approx(max(values), abs=1e-6 * abs(max(values)) * 50)
+
+
+def test_batches_of_texts_come_back():
+    texts = ["", "é 漢", "a\nb", ""]
+    assert class_lm._unpack_texts(class_lm._pack_texts(texts)) == texts
 
 
 def test_class_lm_awkward(awkward, nothing):
