@@ -28,22 +28,18 @@ from pyspark.sql import functions as F
 
 from courtside.llm.common import small_batches
 
-#: Components saturate here, so that a score always fits a long.
-LIMIT = 2**26
-
-
 def whole_components(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of every component, as longs within +-LIMIT; NULL unless all components are finite."""
+    """floor(scale * x) of every component, as whole doubles; NULL unless all components are finite."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    floors = F.transform(
-        vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(float(LIMIT))), F.lit(-float(LIMIT)))))
-    return F.when(finite, floors)
+    scaled = F.transform(vector, lambda x: x.cast("double") * scale)
+    # doubles of 2**52 or more are whole as they are
+    return F.when(finite, F.transform(scaled, lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)))
 
 
 def _number_type(queries: np.ndarray, vectors: np.ndarray) -> type:
-    """The fastest type in which every partial sum is exact."""
+    """The fastest type in which every partial sum is exact; beyond longs that is Python's whole numbers."""
     most = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0))
-    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
 
 
 def block_top_k(query_ids: np.ndarray, queries: np.ndarray, vector_ids: np.ndarray, vectors: np.ndarray,
@@ -76,11 +72,13 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, vector_ids: np.ndarr
             if is_open.sum() <= len(q) * max(4 * k, n // 16):
                 break
         qi, ci = np.nonzero(is_open)
-        score = np.empty(len(qi), np.int64)
+        score = np.empty(len(qi), object if kind is object else np.int64)
         for part in range(0, len(qi), 65_536):
             s = slice(part, part + 65_536)
-            score[s] = np.einsum("ij,ij->i", queries[at + qi[s]], vectors[ci[s]])
-        order = np.lexsort((vector_ids[ci], -score, qi))
+            score[s] = (queries[at + qi[s]].astype(kind) * x[ci[s]]).sum(axis=1) if kind is object else np.einsum("ij,ij->i", queries[at + qi[s]], vectors[ci[s]])
+        if kind is object and len(score):  # places among the different scores sort like the scores
+            _, place = np.unique(score, return_inverse=True)
+        order = np.lexsort((vector_ids[ci], -place if kind is object and len(score) else -score, qi))
         qi, ci, score = qi[order], ci[order], score[order]
         rank = np.arange(len(qi)) - np.searchsorted(qi, qi)
         best = rank < k
@@ -90,28 +88,33 @@ def block_top_k(query_ids: np.ndarray, queries: np.ndarray, vector_ids: np.ndarr
 
 def _matrix(table: pa.Table, dims: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in table.column("v").chunks]) if table.num_rows else pa.array([], pa.int64())
-    return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(table.num_rows, dims)
+    values = flat.to_numpy(zero_copy_only=False)
+    if len(values) and np.abs(values).max() >= 2.0**53:
+        values = np.array([int(v) for v in values], object)
+    else:
+        values = values.astype(np.int64)
+    return values.reshape(table.num_rows, dims)
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int = 4096, vector_block: int = 8192) -> DataFrame:
     """The ``k`` vectors with the highest inner product for each query, ties to smaller ids.
 
-    Both frames have ``id`` (long) and ``v`` (array of longs, see :func:`whole_components`).
+    Both frames have ``id`` (long) and ``v`` (array of whole numbers, see :func:`whole_components`).
     Returns query_id, rank (from 1), vec_id, score. A query's own row is every row with
-    its id. Rows with a NULL id or vector take no part; a query whose id occurs more than
-    once counts once, with its smallest vector; a repeated candidate is listed as often as it
-    occurs; vectors of different lengths never meet; a query with fewer candidates lists them all.
+    its id. Rows with a NULL id or vector take no part; of a query id that occurs more than
+    once every row is searched, and the best of all of them are listed; a repeated candidate is listed as often as it
+    occurs; vectors of different lengths never meet; a query with fewer candidates lists them all. Scores are exact for
+    components of any size; one of the listed that does not fit a long is an error.
     """
     small_batches(vectors.sparkSession)
     vectors = vectors.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", F.size("v").alias("dims"))
-    queries = (queries.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"))
-               .withColumn("dims", F.size("v")))
+    queries = queries.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select("id", "v", F.size("v").alias("dims"))
     n_vectors, n_queries = vectors.count(), queries.count()
     v_blocks, q_blocks = max(1, math.ceil(n_vectors / vector_block)), max(1, math.ceil(n_queries / query_block))
     row = F.xxhash64(F.monotonically_increasing_id())
     left = (vectors.withColumn("vb", F.pmod(row, F.lit(v_blocks)).cast("int"))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-    right = (queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+    right = (queries.withColumn("qb", F.pmod(row, F.lit(q_blocks)).cast("int"))
              .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1)))))
 
     def meet(some: pa.Table, asked: pa.Table) -> pa.Table:
@@ -121,7 +124,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_block: int
         dims = some.column("dims")[0].as_py()
         v_ids, q_ids = some.column("id").to_numpy(), asked.column("id").to_numpy()
         qi, ci, score = block_top_k(q_ids, _matrix(asked, dims), v_ids, _matrix(some, dims), k)
-        return pa.table([pa.array(q_ids[qi]), pa.array(v_ids[ci]), pa.array(score)], names)
+        return pa.table([pa.array(q_ids[qi]), pa.array(v_ids[ci]), pa.array(score.tolist(), pa.int64())], names)
 
     keys = ["dims", "vb", "qb"]
     found = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
