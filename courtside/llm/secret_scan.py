@@ -1,15 +1,15 @@
 """Secret scans: three fixed patterns, and a character network for what they miss.
 
-Every long token of a text that mixes letters and digits and lies outside the
-fixed patterns is a candidate. A convolutional network over characters, written in
+Every token of a text of 12 characters or more with a digit that lies outside the
+fixed patterns is a candidate: keys of other formats, but also mail addresses, numbers and ids. A convolutional network over characters, written in
 numpy, reads each candidate with the characters around it; a candidate whose calibrated
 probability passes the threshold becomes a span of kind ``model``. The threshold
-is the highest that still finds ``recall`` of the held-out labelled secrets.
+is the highest that still finds ``recall`` of the held-out labelled secrets. Fitting, calibration and threshold use separate parts of the labels.
 
 Texts are read once: a task writes the spans of the patterns and the candidates' windows
 (a small part of the text) to the shared folder, the network is trained on a bounded number of
-labelled findings (spans of the patterns, plus generated findings of public key formats)
-and then scores every candidate in parallel.
+labelled findings and then scores every candidate in parallel. Labelled are, in the corpus, the spans of the patterns (secrets) and the candidates
+that are plainly something else (addresses, plain numbers, runs too short for the patterns), beside generated findings of public formats.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@-]{12,}")
+#: Candidates of these shapes are labelled harmless: mail addresses, numbers and dates, runs too short for the patterns.
+HARMLESS = re.compile(r"[^@]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\.?|[0-9.+/=_-]+|AKIA[A-Z0-9]{8,11}|[0-9a-f]{12,31}")
 #: A window has so many characters before the candidate, of it and after it; a longer candidate has several windows.
 BEFORE, WITHIN, AFTER = 24, 40, 8
 WINDOW = BEFORE + WITHIN + AFTER
@@ -50,14 +52,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Spans of 16 or more token characters with a letter and a digit that touch no span of ``base``."""
+    """Spans of 12 or more token characters with a digit that touch no span of ``base``."""
     out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         while at < len(base) and base[at][0] < b:
             reach = max(reach, base[at][1])
             at += 1
-        if reach <= a and re.search(r"[A-Za-z]", m[0]) and re.search(r"[0-9]", m[0]):
+        if reach <= a and re.search(r"[0-9]", m[0]):
             out.append((a, b))
     return out
 
@@ -173,16 +175,16 @@ def generated_findings(n: int, seed: int) -> list[tuple[str, int]]:
 
 
 def train(findings: list[tuple[str, int]], recall: float = 0.95, epochs: int = 6, seed: int = 7) -> Network:
-    """Fit on three quarters of ``findings`` (window, 0/1); calibrate and choose the threshold on the rest.
+    """Fit on three fifths of ``findings`` (window, 0/1), calibrate on a fifth, choose the threshold on the last one.
 
-    Without both labels on either side the network stays silent (threshold above 1).
+    Without both labels in each part the network stays silent (threshold above 1).
     """
     net, rng = Network.fresh(seed), np.random.default_rng(seed)
     order = rng.permutation(len(findings))
     codes = encode([findings[i][0] for i in order]) if len(order) else np.empty((0, WINDOW), np.uint8)
     y = np.array([findings[i][1] for i in order], float)
-    cut = len(y) * 3 // 4
-    if len(set(y[:cut])) < 2 or len(set(y[cut:])) < 2:
+    cut, last = len(y) * 3 // 5, len(y) * 4 // 5
+    if any(len(set(part)) < 2 for part in (y[:cut], y[cut:last], y[last:])):
         net.threshold = 2.0
         return net
     m, v, step = {k: np.zeros_like(x) for k, x in net.w.items()}, {k: np.zeros_like(x) for k, x in net.w.items()}, 0
@@ -193,11 +195,12 @@ def train(findings: list[tuple[str, int]], recall: float = 0.95, epochs: int = 6
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 net.w[k] -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    logit, held = net.forward(codes[cut:])[0], y[cut:]
+    logit, held = net.forward(codes[cut:last])[0], y[cut:last]
     for _ in range(200):  # calibration: a logistic curve over the held-out logits
         p = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
         net.scale -= 0.1 * ((p - held) * logit).mean()
         net.shift -= 0.1 * (p - held).mean()
+    logit, held = net.forward(codes[last:])[0], y[last:]
     every = 1 / (1 + np.exp(-(net.scale * logit + net.shift)))
     p = np.sort(every[held == 1])
     net.threshold = float(p[int((1 - recall) * len(p))])
@@ -214,33 +217,35 @@ def findings_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         rows = []
         for text in texts_of(batch):
             base = base_spans(text)
+            rest = [(a, b, windows(text, a, b)) for a, b in candidates(text, base)]
             rows.append((
                 [{"s": a, "e": b, "k": k} for a, b, k in base],
-                [{"s": a, "e": b, "k": windows(text, a, b)} for a, b in candidates(text, base)],
-                [windows(text, a, b)[0] for a, b, k in base if k != "assign"][:4]))
+                [{"s": a, "e": b, "k": w} for a, b, w in rest],
+                [{"w": w, "y": 1} for a, b, k in base if k != "assign" for w in windows(text, a, b)]
+                + [{"w": w, "y": 0} for a, b, of in rest if HARMLESS.fullmatch(text, a, b) for w in of]))
         span = pa.struct([("s", pa.int64()), ("e", pa.int64())])
         fields = lambda kind: pa.list_(pa.struct([*span, ("k", kind)]))
         base, more_, labelled = zip(*rows)
         return pa.record_batch(
             [*(batch.column(c) for c in kept), pa.array(base, fields(pa.string())), pa.array(more_, fields(pa.list_(pa.string()))),
-             pa.array(labelled, pa.list_(pa.string()))], [*kept, "base", "found", "labelled"])
+             pa.array(labelled, pa.list_(pa.struct([("w", pa.string()), ("y", pa.int32())])))], [*kept, "base", "found", "labelled"])
 
     return map_batches(picked, run, ", ".join(f"`{c}` {types[c]}" for c in kept) +
-                       ", base array<struct<s:long,e:long,k:string>>, found array<struct<s:long,e:long,k:array<string>>>, labelled array<string>")
+                       ", base array<struct<s:long,e:long,k:string>>, found array<struct<s:long,e:long,k:array<string>>>, labelled array<struct<w:string,y:int>>")
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *more: str,
          labelled: int = 2000, recall: float = 0.95, seed: int = 7) -> DataFrame:
     """Per row of ``docs``: the id, ``more`` and ``spans``, an array of (s, e, k): code points, end exclusive, kind.
 
-    At most ``labelled`` findings of the corpus train the network (those with the smallest hashes), beside as
+    At most ``labelled`` different findings of the corpus with either label train the network (those with the smallest hashes), beside as
     many generated ones. NULL and empty texts have no spans; repeated rows and NULL ids are kept;
     spans of the patterns are never lost, whatever the network says.
     """
     table = stage(findings_of(docs, id_column, text_column, *more), "findings")
-    one = table.where(F.size("labelled") > 0).select(F.explode("labelled").alias("w")).distinct()
-    sample = [r.w for r in one.orderBy(F.xxhash64("w"), "w").limit(labelled).collect()]
-    net = train([(w, 1) for w in sample] + generated_findings(labelled, seed), recall, seed=seed)
+    one = table.where(F.size("labelled") > 0).select(F.explode("labelled").alias("l")).select("l.*").distinct()
+    sample = [(r.w, r.y) for y in (1, 0) for r in one.where(F.col("y") == y).orderBy(F.xxhash64("w"), "w").limit(labelled).collect()]
+    net = train(sample + generated_findings(labelled, seed), recall, seed=seed)
     kept, types = [id_column, *more], dict(table.dtypes)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
