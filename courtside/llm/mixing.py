@@ -98,13 +98,12 @@ def solve(sizes: DataFrame, goals: DataFrame, most: float = 3.0, within: float =
 
 
 def greedy(sizes: Column, room: Column) -> Column:
-    """Of sizes in falling order, 1 for each that still fits into what is left of ``room``."""
-    start = F.struct(room.cast("double").alias("room"), F.array().cast("array<int>").alias("take"))
+    """Of (size, n) in falling order of size, how many of each n still fit into what is left of ``room``."""
+    start = F.struct(room.cast("double").alias("room"), F.array().cast("array<long>").alias("take"))
 
-    def one(got: Column, size: Column) -> Column:
-        fits = size <= got["room"]
-        return F.struct((got["room"] - F.when(fits, size).otherwise(0)).alias("room"),
-                        F.concat(got["take"], F.array(F.when(fits, 1).otherwise(0))).alias("take"))
+    def one(got: Column, group: Column) -> Column:
+        fit = F.greatest(F.lit(0), F.least(group["n"], F.floor(got["room"] / group["_mix_size"])))
+        return F.struct((got["room"] - fit * group["_mix_size"]).alias("room"), F.concat(got["take"], F.array(fit.cast("long"))).alias("take"))
 
     return F.aggregate(sizes, start, one, lambda got: got["take"])
 
@@ -144,14 +143,18 @@ def with_copies(docs: DataFrame, narrow: DataFrame | None = None, weights: tuple
         F.min(F.struct("_mix_cell", (F.col("room") - F.col("through") + F.col("words")).alias("left"))).alias("e"))
     edge = stage(edge.select("_mix_source", F.col("e._mix_cell").alias("edge"), F.col("e.left").alias("left")), "mix_edge")
     last = narrow.join(edge, "_mix_source").where(F.col("_mix_cell") == F.col("edge"))
-    chosen = stage(last.groupBy("_mix_source", "left").agg(F.sort_array(F.collect_list("_mix_size"), asc=False).alias("sizes"))
-                   .select("_mix_source", greedy(F.col("sizes"), F.col("left")).alias("take")), "mix_chosen")
+    # rows that agree in id and text share a place: they are counted first, so a cell is as long as it has different documents
+    alike = last.groupBy("_mix_source", "left", "_mix_size", "_mix_u").agg(F.count("*").alias("n"))
+    listed = F.sort_array(F.collect_list(F.struct("_mix_size", "_mix_u", "n")), asc=False).alias("alike")
+    taken = alike.groupBy("_mix_source", "left").agg(listed).withColumn("take", greedy(F.col("alike"), F.col("left")))
+    taken = taken.select("_mix_source", F.explode(F.arrays_zip("alike", "take")).alias("g"))
+    chosen = stage(taken.select("_mix_source", F.col("g.alike._mix_size").alias("_mix_size"), F.col("g.alike._mix_u").alias("_mix_u"), F.col("g.take").alias("take")), "mix_chosen")
 
     rows = placed(docs).join(edge.drop("left"), "_mix_source", "left")
     at_edge = F.col("_mix_cell").isNotNull() & (F.col("_mix_cell") == F.col("edge"))
     before = F.col("_mix_cell").isNotNull() & (F.col("edge").isNull() | (F.col("_mix_cell") < F.col("edge")))
     plain = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn("_mix_copies", F.col("_mix_whole") + F.coalesce(before, F.lit(False)).cast("int"))
-    number = F.row_number().over(Window.partitionBy("_mix_source").orderBy(F.desc("_mix_size"), "_mix_u", "doc_id"))
-    edgy = (rows.where(at_edge).withColumn("_mix_no", number).join(chosen, "_mix_source")
-            .withColumn("_mix_copies", F.col("_mix_whole") + F.element_at("take", F.col("_mix_no"))).drop("take", "_mix_no"))
+    number = F.row_number().over(Window.partitionBy("_mix_source", "_mix_size", "_mix_u").orderBy("doc_id"))
+    edgy = (rows.where(at_edge).withColumn("_mix_no", number).join(chosen, ["_mix_source", "_mix_size", "_mix_u"])
+            .withColumn("_mix_copies", F.col("_mix_whole") + (F.col("_mix_no") <= F.col("take")).cast("int")).drop("take", "_mix_no"))
     return plain.unionByName(edgy).drop("_mix_whole", "_mix_cell", "edge", "_mix_u")
