@@ -141,13 +141,16 @@ def learn(docs: DataFrame, labels: DataFrame, labelled: int = 5000, text_column:
     """Rules that reject, from the ``labelled`` labels (doc_id, quality 0/1) with the smallest hashes.
 
     The bound makes both the broadcast ids and the collected rows small at every size. Labels without a document, and
-    NULL ids or qualities, are ignored; without labels the list is empty.
+    NULL ids or qualities, are ignored; without labels the list is empty. Of documents that share an id, one is read.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("_q_good"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     both = docs.select(F.col("doc_id").alias("_q_id"), F.col(text_column).alias("text")).join(
         F.broadcast(sample), F.col("_q_id") == F.col("doc_id"))
-    rows = with_statistics(both).where(~base_failed()).select("_q_id", "_q_good", *(c.alias(k) for k, c in features().items())).collect()
+    facts = F.struct("_q_good", *(c.alias(k) for k, c in features().items()))
+    # an id may stand for any number of rows: one of them is enough
+    one = with_statistics(both).where(~base_failed()).groupBy("_q_id").agg(F.min(facts).alias("one"))
+    rows = one.select("_q_id", "one.*").collect()
     rows = sorted(rows, key=lambda r: ((r["_q_id"] * 2654435761) % 2**32, tuple(r)))
     return covering([tuple(r)[2:] for r in rows], [bool(r["_q_good"]) for r in rows], precision)
 
