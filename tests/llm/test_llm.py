@@ -81,10 +81,16 @@ def test_top_k_stops_early_and_stays_exact():
 
 
 def test_top_k_awkward_vectors(spark):
-    rows = [(0, [0.5, 0.26]), (1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [0.5, -0.01]), (5, [1.0]), (None, [9.0, 9.0]), (6, [float("inf"), 0.0]), (20, [1e30, 0.0])]
+    rows = [(0, [0.5, 0.26]), (1, [1.0, float("nan")]), (2, None), (3, [1.0, None]), (4, [0.5, -0.01]), (5, [1.0]), (None, [9.0, 9.0]), (6, [float("inf"), 0.0]), (20, [2.0**22, 0.0]), (21, [2.0**21, 0.0])]
     frame = spark.createDataFrame(rows, "id long, e array<double>").select("id", topk.whole_components(F.col("e")).alias("v"))
     got = {tuple(r) for r in topk.top_k(frame.where("id = 0"), frame).collect()}
-    assert got == {(0, 1, 20, 32 * 2**26), (0, 2, 4, 32 * 32 - 16)}
+    assert got == {(0, 1, 20, 32 * 2**28), (0, 2, 21, 32 * 2**27), (0, 3, 4, 32 * 32 - 16)}
+    far = spark.createDataFrame([(0, [2.0**50 + 1.0, -1.0]), (1, [64.0, 2.0**60]), (2, [65.0, 2.0**60]), (3, [-1.0, -(2.0**59)])], "id long, v array<double>")
+    assert [tuple(r) for r in topk.top_k(far.where("id = 0"), far, 2).collect()] == [(0, 1, 3, 2**59 - 2**50 - 1), (0, 2, 2, 65 * 2**50 + 65 - 2**60)]
+    with pytest.raises(Exception):
+        topk.top_k(far.where("id = 1"), far, 3).collect()
+    twice = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [5.0]), (2, [-7.0]), (3, [0.0])], "id long, v array<double>")
+    assert {tuple(r) for r in topk.top_k(twice.where("id = 0"), twice, 3).collect()} == {(0, 1, 2, 7), (0, 2, 1, 5), (0, 3, 3, 0)}
     assert topk.top_k(frame.where("id < 0"), frame).count() == 0
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
 
@@ -228,6 +234,77 @@ def test_secret_network_finds_held_out_secrets():
     assert secret_scan.train([]).threshold > 1
 
 
+def brute_base(text):
+    """The fixed patterns, position by position: at every place the longest match, on past its end."""
+    token, out = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), []
+
+    def run(at, chars):
+        end = at
+        while end < len(text) and text[end] in chars:
+            end += 1
+        return end
+
+    def assign(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at:at + len(name)].lower() == name and text[at:at + len(name)].isascii():
+                i = at + len(name)
+                i += text[i:i + 1] in ("'", '"') and text[i:i + 1] != ""
+                while text[i:i + 1] == " ":
+                    i += 1
+                if text[i:i + 1] not in (":", "=") or i >= len(text):
+                    continue
+                i += 1
+                while text[i:i + 1] == " ":
+                    i += 1
+                i += text[i:i + 1] in ("'", '"') and i < len(text)
+                if (end := run(i, token)) > i:
+                    return end, end - i >= 8
+        return None
+
+    at = 0
+    while at < len(text):
+        hit = assign(at)
+        if hit and hit[1]:
+            out.append((at, hit[0], "assign"))
+        at = hit[0] if hit else at + 1
+    for kind, lead, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(lead), chars) if text.startswith(lead, at) else at
+            hit = end > at + len(lead)
+            if hit and end - at >= least:
+                out.append((at, end, kind))
+            at = end if hit else at + 1
+    return sorted(out, key=lambda s: (s[0], secret_scan.KINDS.index(s[2])))
+
+
+def test_base_spans_equal_brute_force_on_whole_tables(docs):
+    texts = [r.text or "" for r in docs.collect()]
+    r = random.Random(2)
+    parts = ["token", "TOKEN", "api_key", "apikey", "passwd", "secret", "password", "=", ":", " ", '"', "'", "abcd1234", "AKIA", "ABCDEFGHIJKL", "0af", "9" * 33, "é", "\n", "-", "x"]
+    texts += ["".join(r.choice(parts) for _ in range(12)) for _ in range(3000)]
+    assert sum(bool(secret_scan.base_spans(t)) for t in texts) > 200
+    for t in texts:
+        assert secret_scan.base_spans(t) == brute_base(t), t
+
+
+def test_secret_network_judges_unseen_formats_and_harmless_tokens(spark):
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda n: "".join(r.choice(letters) for _ in range(n))
+    word = lambda: "".join(r.choice(["the", "an", "er", "re", "st", "ou"]) for _ in range(3))
+    plain = lambda i: [f"{word()}.{r.randrange(99)}@mail{r.randrange(9)}.example.com", f"{r.randrange(10**15, 10**16)}", f"{r.randrange(255)}.{r.randrange(255)}.{r.randrange(255)}.{r.randrange(255)}"][i % 3]
+    told = [(i, f"{word()} {word()} {plain(i)} {word()}", "plain") for i in range(300)]
+    told += [(1000 + i, f"{word()} {word()} npm_{pick(36)} {word()}", "secret") for i in range(60)]  # a format that no training finding has
+    told += [(2000 + i, f"{word()} token = \"{r.getrandbits(160):040x}\" {word()}", "base") for i in range(60)]
+    frame = spark.createDataFrame(told, "doc_id long, text string, kind string")
+    rows = secret_scan.scan(frame.drop("kind"), labelled=600).join(frame.drop("text"), "doc_id").collect()
+    model = {k: [any(s.k == "model" for s in x.spans) for x in rows if x.kind == k] for k in ("plain", "secret", "base")}
+    recall, false = sum(model["secret"]) / 60, sum(model["plain"]) / 300
+    assert recall >= 0.9 and false <= 0.02 and sum(model["secret"]) / max(1, sum(model["secret"]) + sum(model["plain"])) >= 0.9
+    assert all(any(s.k == "hex" for s in x.spans) for x in rows if x.kind == "base")
+
+
 def test_secret_threshold_keeps_recall_below_one_half():
     # windows of one look with both labels: no probability of a secret reaches one half
     found = [("same look of everything".ljust(secret_scan.WINDOW), int(i % 5 == 0)) for i in range(400)]
@@ -394,6 +471,16 @@ def test_mixing_awkward(awkward, nothing):
     assert mixing.with_copies(mixing.prepared(nothing)).count() == 0
 
 
+def test_mixing_of_many_repeated_rows(spark):
+    """One document three thousand times: the edge of its source goes through the repeats, whose array is one entry long."""
+    rows = [(1, "a b c d e", "s1")] * 3000 + [(i, "x " * (i % 40 + 1), "s2") for i in range(10, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.with_copies(mixing.prepared(docs)).withColumn("taken", F.col("_mix_copies") * F.col("_mix_size"))
+    sums = {r.source: (r.taken, r.target, r.n) for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("_mix_target").alias("target"), F.count("*").alias("n")).collect()}
+    assert sums["s1"][2] == 3000 and all(abs(t - goal) <= 0.01 * goal for t, goal, _ in sums.values())
+    assert len({r._mix_copies for r in out.where("source = 's1'").collect()}) == 2
+
+
 # 7: byte-level BPE
 
 @pytest.fixture(scope="module")
@@ -475,6 +562,14 @@ def test_quality_rules_learn(spark):
     assert quality_rules.learn(docs, labels.limit(0)) == []
 
 
+def test_quality_rules_read_one_row_of_an_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, words + " #" * (i % 7)) for i in range(60)] + [(5, words + " # # # # #")] * 2000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 < 4)) for i in range(60)], "doc_id long, quality int")
+    once = quality_rules.learn(docs.dropDuplicates(["doc_id", "text"]), labels)
+    assert quality_rules.learn(docs, labels) == once and once
+
+
 def test_covering_finds_a_conjunction():
     rng = random.Random(9)
     rows = [tuple(rng.random() for _ in quality_rules.FEATURES) for _ in range(1500)]
