@@ -196,6 +196,19 @@ def test_near_copies_equal_brute_force(spark, joined_at_most):
     assert len(set(root)) < len(texts) - 20
 
 
+def test_profiles_bound_the_overlap():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 5, 60, 3000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            y = np.unique(np.append(x[rng.random(len(x)) < share], rng.integers(0, 2**63, n // 8).astype(np.uint64)))
+            assert near_copies.overlap_at_most(near_copies.profile(x), near_copies.profile(y)) >= len(np.intersect1d(x, y))
+    crowd = np.arange(1000, dtype=np.uint64)  # all in one counter, which is full
+    assert near_copies.overlap_at_most(near_copies.profile(crowd), near_copies.profile(crowd[:400])) >= 400
+    apart = [np.unique(rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)) for _ in range(2)]
+    assert 9 * near_copies.overlap_at_most(*map(near_copies.profile, apart)) < 4 * 1000
+
+
 def test_pipeline_drops_near_copies_beyond_two_bits(spark):
     import corpus_pipeline as P
 
