@@ -572,6 +572,24 @@ def rolling_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.rolling_form(box, ["player", "opponent"]).select("player", "opponent", "id", *cols), *cols)
 
 
+@query("rolling_form_full", """
+SELECT player, opponent, id, round(mp, 6) AS roll_mean_points, round(mr, 6) AS roll_mean_rebounds, round(mt, 6) AS roll_mean_assists, round(pct, 6) AS roll_mean_pct
+FROM (SELECT *, max(pct) OVER (PARTITION BY player, opponent) AS best FROM (
+  SELECT *, mm / nullif(ma, 0) AS pct FROM (
+    SELECT player, opponent, id, CASE WHEN count(*) OVER w = 4 THEN avg(points) OVER w END AS mp, CASE WHEN count(*) OVER w = 4 THEN avg(rebounds) OVER w END AS mr,
+      CASE WHEN count(*) OVER w = 4 THEN avg(assists) OVER w END AS mt, CASE WHEN count(*) OVER w = 4 THEN avg(fga) OVER w END AS ma, CASE WHEN count(*) OVER w = 4 THEN avg(fgm) OVER w END AS mm
+    FROM (SELECT user_id % 20 AS player, event_type AS opponent, event_id AS id, k AS points, k % 11 AS rebounds, k % 7 AS assists, k % 17 + 1 AS fga, k % 13 AS fgm FROM {ev})
+    WINDOW w AS (PARTITION BY player, opponent ORDER BY id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)))) WHERE pct = best AND mp >= 30""")
+def rolling_form_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics over four games, the best rates among spans of 30 points a game."""
+    k = F.col("k")
+    box = events(spark, sf_dir).select(
+        (F.col("user_id") % 20).alias("player"), F.col("event_type").alias("opponent"), F.col("event_id").alias("id"),
+        k.alias("points"), (k % 11).alias("rebounds"), (k % 7).alias("assists"), (k % 17 + 1).alias("fga"), (k % 13).alias("fgm"))
+    cols = ["roll_mean_points", "roll_mean_rebounds", "roll_mean_assists", "roll_mean_pct"]
+    return rounded(P.rolling_form(box, ["player", "opponent"], 4, 30).select("player", "opponent", "id", *cols), *cols)
+
+
 @query("player_vs_opponent", """
 SELECT user_id % 20 AS player, event_type AS opponent, count(*) AS n, round(sum(k % 13)::DOUBLE / sum(k % 17 + 1), 6) AS fg_pct
 FROM {ev} GROUP BY ALL""")
