@@ -282,7 +282,7 @@ def generated_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     def body() -> str:
         out = [block(f"<h1>{line(2, 8)}.</h1>", True)] if rng.random() < 0.8 else []
-        for _ in range(rng.integers(1, 10)):
+        for _ in range(rng.integers(1, 10) if rng.random() < 0.96 else rng.integers(60, 200)):
             kind = rng.integers(12)
             if kind < 7:
                 out.append(block(f"<p>{line(1, 60)}.</p>", True))
@@ -322,8 +322,9 @@ def markup_labels(blocks: list[Block]) -> list[bool] | None:
     return out if any(out) else None
 
 
-def train(pages: list[str], generated: int = 400, epochs: int = 8, seed: int = 5, most_blocks: int = 48) -> Labeller:
-    """Fit on ``generated`` pages and on those of ``pages`` whose markup labels them; training reads ``most_blocks`` a page."""
+def train(pages: list[str], generated: int = 400, epochs: int = 8, seed: int = 5, stretch: int = 256) -> Labeller:
+    """Fit on ``generated`` pages and on those of ``pages`` whose markup labels them, on every block of theirs; a page of more
+    than ``stretch`` blocks is read in stretches of so many."""
     rng, examples = np.random.default_rng(seed), []
     for _ in range(generated):
         html, labels = generated_page(rng)
@@ -332,7 +333,8 @@ def train(pages: list[str], generated: int = 400, epochs: int = 8, seed: int = 5
         blocks = leaf_blocks(html)
         if (labels := markup_labels(blocks)) is not None:
             examples.append((blocks, labels))
-    data = [(vectors(b[:most_blocks]), np.array(y[:most_blocks], np.float32)) for b, y in examples if len(b) == len(y) and b]
+    data = [(vectors(b[at:at + stretch]), np.array(y[at:at + stretch], np.float32))
+            for b, y in examples if len(b) == len(y) for at in range(0, len(b), stretch)]
     net = Labeller.fresh(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in net.w.items()}, {k: np.zeros_like(x) for k, x in net.w.items()}, 0
     for _ in range(epochs):
@@ -355,12 +357,12 @@ def main_text(blocks: list[Block], probability: np.ndarray) -> str:
     return "\n".join(b.text for b, p in zip(blocks, probability) if p >= 0.5 and not any(t in NEVER for t, _ in b.path))
 
 
-def training_pages(pages: DataFrame, most: int, longest: int = 20_000) -> list[str]:
-    """At most ``most`` different pages of at most ``longest`` characters, those with the smallest hashes.
+def training_pages(pages: DataFrame, most: int) -> list[str]:
+    """At most ``most`` different pages, whole, those with the smallest hashes.
 
     The hashes are chosen first, so that no task sends pages to the driver that are not among the chosen.
     """
-    some = pages.where(F.length("html") <= longest).select("html", F.xxhash64("html").alias("h"))
+    some = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("h"))
     least = [r.h for r in some.select("h").distinct().orderBy("h").limit(most).collect()]
     if not least:
         return []
