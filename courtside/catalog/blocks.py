@@ -64,7 +64,7 @@ def range_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_id", F.col("event_id").alias("span_id"), F.col("event_id").alias("lo"),
         (F.col("event_id") + F.col("k") % 7).alias("hi"),
     )
-    out = range_join(ev.select("game_id", "event_id"), spans, ["game_id"], "event_id", "lo", "hi", "left", 64)
+    out = range_join(ev.select("game_id", "event_id"), spans, ["game_id"], "event_id", "lo", "hi", "left", 64, longest=6)
     return out.drop("lo", "hi")
 
 
@@ -79,7 +79,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
         "game_id", F.col("event_id").alias(f"{tag}_id"), (F.col("event_id") + F.col("k") % m).alias(f"{tag}_end")
     )
     pairs = overlap_join(
-        side("signup", "a", 9), side("error", "b", 11), ["game_id"], ("a_id", "a_end"), ("b_id", "b_end"), width=64
+        side("signup", "a", 9), side("error", "b", 11), ["game_id"], ("a_id", "a_end"), ("b_id", "b_end"), width=64, longest=10
     )
     return pairs.select(
         "game_id", "a_id", "b_id", F.greatest("a_id", "b_id").alias("lo"), F.least("a_end", "b_end").alias("hi")

@@ -37,10 +37,11 @@ def dyadic_cover(start: Column, end: Column) -> Column:
     return F.when(span > 2, many).when(span > 0, few)
 
 
-def _cells(start: str, end: str, width: int) -> Column:
-    """Cover of ``[start, end)`` in cells of ``width`` ids; a cell may stick out at either end."""
+def _cells(start: str, end: str, width: int, one_by_one: bool = False) -> Column:
+    """Cover of ``[start, end)`` in cells of ``width`` ids, dyadic or one by one; a cell may stick out at either end."""
     lo, hi = F.floor(F.expr(f"`{start}` / {width}D")), F.floor(F.expr(f"(`{end}` - 1) / {width}D"))
-    return F.when(F.col(start) < F.col(end), dyadic_cover(lo, hi + 1))
+    each = F.transform(F.sequence(lo, hi), lambda b: F.struct(F.lit(0).alias("level"), b.alias("block")))
+    return F.when(F.col(start) < F.col(end), each if one_by_one else dyadic_cover(lo, hi + 1))
 
 
 def _ancestors(at: str, width: int, levels: Sequence[int]) -> Column:
@@ -64,6 +65,7 @@ def range_join(
     end: str,
     how: str = "left",
     width: int = DEFAULT_CELL,
+    longest: int | None = None,
 ) -> DataFrame:
     """Points to half-open ``[start, end)`` intervals of the same key; ``how`` is inner or left.
 
@@ -71,15 +73,18 @@ def range_join(
     and a point looks up the block around it on each level that occurs (which a small job asks of the
     intervals first: stage an expensive input). The join key is (keys, level, block), so a hot key is spread over its
     blocks. Where intervals span two cells at most there is one level, and points travel once. With more, only distinct
-    (keys, at) look the blocks up, and points are joined to what they found. NULL keys and positions match nothing;
+    (keys, at) look the blocks up, and points are joined to what they found. If the caller knows intervals to be no longer
+    than ``longest``, at most twice ``width``, nothing is asked and cells are listed one by one (a longer one would
+    be right, with more copies). NULL keys and positions match nothing;
     integer ids below 2**53 in magnitude. Column names must not clash outside ``keys``.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    levels = cover_levels(intervals, start, end, width)
+    short = longest is not None and longest <= 2 * width
+    levels = [0] if short else cover_levels(intervals, start, end, width)
     block = fresh("_block", points, intervals)
     by = [*keys, block]
-    listed = intervals.withColumn(block, F.explode(_cells(start, end, width)))
+    listed = intervals.withColumn(block, F.explode(_cells(start, end, width, short)))
     renamed = listed.withColumnsRenamed({k: f"_r_{k}" for k in by})
     cond = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
     for k in by:
@@ -103,25 +108,27 @@ def overlap_join(
     right_span: tuple[str, str],
     condition: Column | None = None,
     width: int = DEFAULT_CELL,
+    longest: int | None = None,
 ) -> DataFrame:
     """Pairs of the same key whose half-open spans intersect, each pair once.
 
     Two intervals meet exactly if the left one holds the right one's start, or the right one holds the left one's and
     starts earlier. Both cases are a point in a dyadic cover, and one join does both: a row is listed at the
     blocks of its cover and, for the other case, at the blocks around its start. An interval of any length has a number of
-    copies logarithmic in it. ``condition`` may use all columns.
+    copies logarithmic in it. ``condition`` may use all columns; ``longest`` is that of :func:`range_join`, for both sides.
     """
     (ls, le), (rs, re) = left_span, right_span
+    short = longest is not None and longest <= 2 * width
     block = fresh("_block", left, right)
     by = [*keys, block]
 
     def listed(df: DataFrame, span: tuple[str, str], levels: Sequence[int], covers: int) -> DataFrame:
         tag = lambda case: lambda b: F.struct(F.lit(case).alias("case"), b["level"].alias("level"), b["block"].alias("block"))
-        places = F.concat(F.transform(_cells(*span, width), tag(covers)), F.transform(_ancestors(span[0], width, levels), tag(1 - covers)))
+        places = F.concat(F.transform(_cells(*span, width, short), tag(covers)), F.transform(_ancestors(span[0], width, levels), tag(1 - covers)))
         return df.where(F.col(span[0]) < F.col(span[1])).withColumn(block, F.explode(places))
 
-    a = listed(left, left_span, cover_levels(right, rs, re, width), 0)
-    b = listed(right, right_span, cover_levels(left, ls, le, width), 1).withColumnsRenamed({k: f"_r_{k}" for k in by})
+    a = listed(left, left_span, [0] if short else cover_levels(right, rs, re, width), 0)
+    b = listed(right, right_span, [0] if short else cover_levels(left, ls, le, width), 1).withColumnsRenamed({k: f"_r_{k}" for k in by})
     holds_start = (F.col(ls) <= F.col(rs)) & (F.col(rs) < F.col(le))
     is_held = (F.col(rs) < F.col(ls)) & (F.col(ls) < F.col(re))
     cond = F.when(F.col(block)["case"] == 0, holds_start).otherwise(is_held)

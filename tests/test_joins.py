@@ -24,7 +24,12 @@ def test_range_join(spark, spans, width):
     pts = [(k, p) for k in ("hot", "b", "c") for p in range(0, 700, 7)]
     left = spark.createDataFrame(pts, "k string, p long")
     right = spark.createDataFrame(spans, "k string, sid int, lo long, hi long")
-    got = rows(range_join(left, right, ["k"], "p", "lo", "hi", "left", width), "k", "p", "sid")
+    for longest in (None, 10):  # a wrong bound costs copies, no rows
+        got = rows(range_join(left, right, ["k"], "p", "lo", "hi", "left", width, longest), "k", "p", "sid")
+        check_range(got, pts, spans)
+
+
+def check_range(got, pts, spans):
     want = []
     for k, p in pts:
         hits = [s for kk, s, lo, hi in spans if kk == k and hi is not None and lo <= p < hi]
@@ -90,6 +95,7 @@ def test_overlaps_of_long_and_short_intervals(spark):
     got = rows(overlap_join(a, b, ["k"], ("alo", "ahi"), ("blo", "bhi")), "a", "b")
     want = [(x[1], y[1]) for x in spans for y in spans[50:] if x[0] == y[0] and min(x[3], y[3]) > max(x[2], y[2])]
     assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert got == rows(overlap_join(a, b, ["k"], ("alo", "ahi"), ("blo", "bhi"), width=5000, longest=10_000), "a", "b")
 
 
 def test_word_join_is_whole_word(spark):
