@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,34 +224,81 @@ def required_literal(pattern: Column, least: int = 3) -> Column:
     return F.when(~unsure & (longest["n"] >= least), longest["text"])
 
 
-def _grams(text: Column) -> Column:
-    """The distinct runs of three characters of ``text``."""
-    return F.when(F.length(text) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))))
+#: Most bytes of a gram, and slots of the tables that tell which grams are wanted (a prime).
+_GRAM, _SLOTS = 8, 16_777_213
+
+
+def _grams(literal: Column) -> Column:
+    """The distinct runs of eight bytes of a literal; a shorter one is a run itself."""
+    whole = F.encode(literal, "utf-8")
+    last = F.greatest(F.octet_length(literal) - _GRAM, F.lit(0)) + 1
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(whole, i, F.lit(_GRAM))))
+
+
+def _held(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """``h`` (hash of a text ``t``) and ``gram``, once each, for the texts that hold one of ``grams``; few others may be among them.
+
+    Tasks read a text once, with two tables of one bit a slot: of the grams' first three bytes, and of all of them.
+    """
+    spark = texts.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    number = lambda of: F.conv(F.hex(of), 16, 10).cast("decimal(20,0)")
+    slot = lambda which, at: F.struct(F.lit(which).alias("which"), at.cast("long").alias("slot"))
+    slots = grams.select(F.explode(F.array(slot(0, number(F.substring("gram", 1, 3))), slot(1, number(F.col("gram")) % _SLOTS))).alias("s")).select("s.*")
+    packed = slots.groupBy("which", F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    tables = np.zeros((2, (1 << 24) // 64), np.int64)
+    tables[packed.column("which").to_numpy(), packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
+    shared = spark.sparkContext.broadcast(tables)
+    sizes = sorted(r.n for r in grams.select(F.octet_length("gram").alias("n")).distinct().collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, wholes = shared.value
+        is_set = lambda table, at: (table[at >> 6] >> (at & 63)) & 1 == 1
+        for batch in batches:
+            hashes, found = [], []
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("t").to_pylist()):
+                x = np.frombuffer(text, np.uint8).astype(np.int64)
+                at = np.flatnonzero(is_set(heads, x[:-2] << 16 | x[1:-1] << 8 | x[2:])) if len(x) > 2 else x[:0]
+                for size in sizes:
+                    at = at[at + size <= len(x)]
+                    v = np.zeros(len(at), np.uint64)
+                    for i in range(size):
+                        v = v << np.uint64(8) | x[at + i].astype(np.uint64)
+                    some = at[is_set(wholes, (v % np.uint64(_SLOTS)).astype(np.int64))]
+                    grams_here = {text[a:a + size] for a in some.tolist()}
+                    found += grams_here
+                    hashes += [h] * len(grams_here)
+            if found:
+                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array(found, pa.binary())], ["h", "gram"])
+
+    hashed = texts.select(F.xxhash64("t").alias("h"), F.col("t").cast("binary").alias("t"))
+    return hashed.mapInArrow(run, "h long, gram binary").distinct()
 
 
 def pattern_join_indexed(left: DataFrame, patterns: DataFrame, text: str, pattern: str, how: str = "left") -> DataFrame:
     """Join on ``text`` matching the regular expression in ``pattern``, without comparing every row with every pattern.
 
-    Every match holds the pattern's longest required literal, hence all its trigrams. Distinct texts and patterns are
-    joined on the rarest of them (by how many texts hold it), and only those pairs are tried. Patterns without a literal of three characters go
-    through :func:`pattern_join`. NULL texts and patterns match nothing; repeated rows of either side count as often as they occur.
+    Every match holds the pattern's longest required literal, hence all its grams of up to eight bytes. Hashes of texts and patterns are
+    joined on the rarest of them (by how many texts hold it), and only those pairs are tried; a text travels once, not once a gram. Patterns without
+    a literal of three characters go through :func:`pattern_join`. NULL texts and patterns match nothing; repeated rows of either side count as often as they occur.
     ``how`` is ``inner`` or ``left``. Column names must not clash.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    texts = left.select(F.col(text).alias("t")).where("t is not null").distinct()
+    texts = left.select(F.col(text).alias("t")).where("t is not null")
     listed = stage(patterns.select(F.col(pattern).alias("p")).where("p is not null").distinct().withColumn("literal", required_literal(F.col("p"))), "patterns")
-    wanted = listed.where("literal is not null").select("p", F.explode(_grams(F.col("literal"))).alias("gram"))
-    held = texts.select("t", F.explode(_grams(F.col("t"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    held = stage(held, "grams")
-    rarest = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("p").agg(
+    wanted = listed.where("literal is not null").select("p", "literal", F.explode(_grams(F.col("literal"))).alias("gram"))
+    held = stage(_held(texts, wanted.select("gram").distinct()), "grams")
+    rarest = wanted.join(held.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").groupBy("p", "literal").agg(
         F.min(F.struct("n", "gram")).alias("r"), F.count(F.lit(1)).alias("met"))
-    # a literal with a trigram that no text holds matches nothing
-    whole = rarest.join(wanted.groupBy("p").agg(F.count(F.lit(1)).alias("met")), ["p", "met"]).select("p", F.col("r.gram").alias("gram"))
-    hits = held.join(whole, "gram").where(F.expr("t rlike p")).select("t", "p")
+    # a literal with a gram that no text holds matches nothing
+    whole = rarest.join(wanted.groupBy("p").agg(F.count(F.lit(1)).alias("met")), ["p", "met"]).select("p", "literal", F.col("r.gram").alias("gram"))
+    tried = held.join(whole, "gram").select("h", "p", "literal")
+    hits = texts.withColumn("h", F.xxhash64("t")).join(tried, "h").where(F.expr("contains(t, literal) and t rlike p")).select("t", "p")
     loose = listed.where("literal is null").select("p")
     if loose.limit(1).count():
         hits = hits.unionByName(pattern_join(texts, loose, "t", "p", "inner").select("t", "p"))
     t, p = fresh("_text", left, patterns), fresh("_pattern", left, patterns)
-    found = hits.select(F.col("t").alias(t), F.col("p").alias(p)).join(patterns, F.col(p) == F.col(pattern)).drop(p)
+    found = hits.distinct().select(F.col("t").alias(t), F.col("p").alias(p)).join(patterns, F.col(p) == F.col(pattern)).drop(p)
     return left.join(found, F.col(text) == F.col(t), how).drop(t)

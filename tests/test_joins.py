@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from courtside.operators import joins
 from courtside.operators.joins import (
     _cells, cover_levels, dyadic_cover, overlap_join, pattern_join, pattern_join_indexed, range_join, required_literal, word_join,
 )
@@ -147,3 +148,16 @@ def test_indexed_patterns_equal_the_plain_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert pattern_join_indexed(left, right.limit(0), "t", "p").count() == len(texts)
     assert pattern_join_indexed(left.limit(0), right, "t", "p").count() == 0
+
+
+def test_indexed_patterns_stage_no_text_per_gram(spark, monkeypatch):
+    staged = {}
+    monkeypatch.setattr(joins, "stage", lambda df, name: staged.setdefault(name, df))
+    long = "\u00e9\U0001f600 " * 3000 + "left winger passes, "
+    texts = [(i, long + w) for i, w in enumerate(("scorers shoot", "scorer", "passed", "scorers shoot", ""))] + [(9, None)]
+    left = spark.createDataFrame(texts, "i int, t string")
+    right = spark.createDataFrame([("a", "winger[^x]*scorers"), ("b", "score"), ("c", "\U0001f600 \u00e9"), ("d", "ssed$"), ("e", "wingers")], "tag string, p string")
+    got = rows(pattern_join_indexed(left, right, "t", "p"), "i", "tag")
+    assert got == rows(pattern_join(left, right, "t", "p"), "i", "tag")
+    assert dict(staged["grams"].dtypes) == {"h": "bigint", "gram": "binary"}
+    assert staged["grams"].count() == staged["grams"].distinct().count() <= 4 * 9
