@@ -31,6 +31,15 @@ JOINED_AT_MOST = 64
 _CHUNK = 65_536
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 without one."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        part = np.ascontiguousarray(hashes[at:at + _CHUNK], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """Majority bits of the XXH64 of all word shingles, repeats included; 0 without a word."""
     found = byte_words(text)

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -209,6 +210,42 @@ def test_profiles_bound_the_overlap():
     assert 9 * near_copies.overlap_at_most(*map(near_copies.profile, apart)) < 4 * 1000
 
 
+def test_near_copies_take_fingerprint_links_and_centres(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    prints = [int(x) for x in rng.integers(-1 << 62, 1 << 62, 40)]
+    prints += [p ^ (1 << int(rng.integers(64 - 1))) for p in prints[:20]] + prints[20:25]
+    frame = spark.createDataFrame(list(enumerate(prints, 1)), "f long, print long")
+    nodes = {r.node: r.root for r in components.components(near_copies.by_fingerprints(frame)).collect()}
+    near = lambda a, b: (prints[a - 1] ^ prints[b - 1]).bit_count() <= 2
+    assert nodes and all(nodes.get(a) == nodes.get(b) for a in range(1, 66) for b in range(a + 1, 66) if near(a, b))
+    # edits of one text: similar to it, mostly not to each other
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(50, 5, replace=False) * 6:
+            words[at] = f"x{i}x{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate([*texts, " ".join(base)]))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    assert sum(9 * len(x & y) >= 4 * (len(x) + len(y)) for x, y in combinations(sets, 2)) < 0.1 * 120 * 119 / 2
+    counts, real = {}, near_copies.stage
+
+    def counted(df, name):
+        out = real(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "stage", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = real(near_copies.shingle_sets(docs, "doc_id", "text"), "sets")
+    edges = near_copies.links(table, docs, ["doc_id"], joined_at_most=16)
+    placed = simhash.with_components(table.select("doc_id", "f"), "doc_id", edges=edges)
+    assert {r.component_id for r in placed.collect()} == {0}
+    assert counts["fingerprints"] == 121
+    assert counts["met"] + counts["rest"] <= 6 * 121
+
+
 def test_pipeline_drops_near_copies_beyond_two_bits(spark):
     import corpus_pipeline as P
 
