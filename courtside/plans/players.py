@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,42 +56,56 @@ def initials_rate(seasons: DataFrame, above: Column, min_players: int = 10) -> D
     )
 
 
-def duo_teams(seasons: DataFrame, min_year: int = 1990, block: int = 512) -> DataFrame:
+def _tasks(spark: SparkSession, rows: int, most: int) -> int:
+    """Partitions for so many rows: those of the session, fewer for a small table, more where one would hold over ``most`` rows."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 65536)), -(-rows // most), 1)
+
+
+def duo_teams(seasons: DataFrame, min_year: int = 1990, block: int = 512, most: int = 1 << 20) -> DataFrame:
     """Every ordered pair of team-mates with the number of franchises they shared.
 
     The answer is the list of pairs, so pairs must be built; each unordered pair
     is built once per roster (ordered pairs come back at the end), and a large
     roster is cut into blocks joined block against block, so no task meets more
-    than ``block`` x ``block`` pairs.
+    than ``block`` x ``block`` pairs at once.
+
+    The sizes of rosters say how many rows and pairs there will be; exchanges get
+    partitions for ``most`` rows each, so a task's memory stays the same as the table grows.
     """
-    members = stage(
-        seasons.where((F.col("year") > min_year) & (F.col("team_id") != "TOT"))
-        .select(
-            "player",
-            canonical_team(F.col("team_id")).alias("team"),
-            F.concat(canonical_team(F.col("team_id")), F.col("year").cast("string"),
-                     *([F.col("squad")] if "squad" in seasons.columns else [])).alias("roster"),
-        )
-        .distinct(),
-        "rosters",
-    )
-    sized = attach(members, ["roster"], _n=F.count(F.lit(1)))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    own = F.pmod(F.xxhash64("player"), blocks.cast("long")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = sized.select("roster", "team",
-                        F.col("player").alias("a"), own.alias("_l"), every.alias("_r"))
-    right = sized.select("roster", F.col("player").alias("b"), own.alias("_r"), every.alias("_l"))
-    pairs = (
-        left.join(right, ["roster", "_l", "_r"])
+    spark = seasons.sparkSession
+    listed = seasons.where((F.col("year") > min_year) & (F.col("team_id") != "TOT")).select(
+        "player",
+        canonical_team(F.col("team_id")).alias("team"),
+        F.concat(canonical_team(F.col("team_id")), F.col("year").cast("string"),
+                 *([F.col("squad")] if "squad" in seasons.columns else [])).alias("roster"),
+    ).where(F.col("player").isNotNull() & F.col("roster").isNotNull())
+    members = stage(listed.repartition(_tasks(spark, listed.count(), most), "player", "roster").distinct(), "rosters")
+    sizes = members.groupBy("roster").agg(F.count(F.lit(1)).alias("_n"))
+    n, blocks = F.col("_n"), F.ceil(F.col("_n") / block).cast("int")
+    known = sizes.agg(F.max("_n").alias("largest"), F.sum(n * blocks).alias("copies"), F.sum(n * (n - 1) / 2).cast("long").alias("pairs")).first()
+    if (known.largest or 0) > block:
+        large = stage(sizes.where(n > block).select("roster", blocks.alias("_blocks")), "large_rosters")
+        dealt = members.join(large, "roster", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+        own = F.pmod(F.xxhash64("player"), F.col("_blocks").cast("long")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+        keys = ["roster", "_l", "_r"]
+        left = dealt.select("*", own.alias("_l"), every.alias("_r"))
+        right = dealt.select("*", own.alias("_r"), every.alias("_l"))
+    else:
+        keys, left, right = ["roster"], members, members
+    pairs = known.pairs or 0
+    meeting = _tasks(spark, max(known.copies or 0, pairs), most)
+    met = (
+        left.select(*keys, "team", F.col("player").alias("a")).repartition(meeting, *keys)
+        .join(right.select(*keys, F.col("player").alias("b")).repartition(meeting, *keys), keys)
         .where(F.col("a") < F.col("b"))
-        .select("a", "b", "team")
-        .distinct()
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("dis_teams"))
+        .select("a", "b", "team", F.pmod(F.xxhash64("roster"), F.lit(64)).alias("_part"))
     )
+    # two who share many rosters meet in up to 64 tasks first
+    once = met.repartition(_tasks(spark, pairs, most), "a", "b", "_part").distinct().select("a", "b", "team")
+    counted = once.repartition(_tasks(spark, pairs, most), "a", "b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("dis_teams"))
     text = lambda x, y: F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
-    return pairs.select(
+    return counted.select(
         F.explode(F.array(text("a", "b"), text("b", "a"))).alias("duo"), "dis_teams"
     )
 

@@ -27,6 +27,27 @@ def test_duo_blocks_give_every_pair(spark, block):
     assert got == {k: len(v) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_duo_tasks_follow_the_pairs(spark, block):
+    rng = random.Random(11)
+    data = {(f"P{rng.randrange(40)}", "LAL", y) for y in range(1991, 2021) for _ in range(9)}
+    data |= {(p, rng.choice(["LAL", "NOK", "NOP"]), y) for y in range(1991, 2021) for p in ("hot", "pair")}
+    data |= {(None, "LAL", 1999), ("P1", None, 1999), ("P1", "LAL", None)}
+    df = spark.createDataFrame(sorted(data, key=str), "player string, team_id string, year int")
+    out = P.duo_teams(df.union(df), block=block, most=50).select("duo", "dis_teams", F.spark_partition_id().alias("task"))
+    canon = lambda t: {"NOK": "NOH", "NOP": "NOH"}.get(t, t)
+    kept = {(p, canon(t), y) for p, t, y in data if p and t and y}
+    want = {}
+    for a, t, y in kept:
+        for b, t2, y2 in kept:
+            if a != b and (t, y) == (t2, y2):
+                want.setdefault(f"{b} {a}", set()).add(t)
+    got = out.collect()
+    assert {r.duo: r.dis_teams for r in got} == {k: len(v) for k, v in want.items()} and len(got) == len(want)
+    pairs = sum(len([1 for k in kept if k[1:] == r]) * (len([1 for k in kept if k[1:] == r]) - 1) // 2 for r in {k[1:] for k in kept})
+    assert pairs > 1000 and len({r.task for r in got}) > pairs // 50 // 2 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_initials(spark):
     df = spark.createDataFrame([("LeBron James",), ("Nene",)], "n string")
     assert rows(df.select(X.initials(F.col("n")))) == [("LJ",), ("NN",)]
