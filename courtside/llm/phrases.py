@@ -33,7 +33,7 @@ BUDGET = 1 << 20
 CROWDED = 1 / 1024
 #: A task's table of words is sent on when it holds so many.
 TABLE = 400_000
-#: A task sorts and counts its suffixes when it holds so many.
+#: A task sorts and counts its suffixes when it holds so many, and sends them on if half as many are different.
 SUFFIXES = 1 << 20
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
@@ -176,6 +176,32 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return m, length
 
 
+def summed_suffixes(parts: Iterator[tuple[np.ndarray, ...]], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """A task's suffixes in order (rows of ``DEPTH`` ids), with whatever arrays follow them and how often each occurs.
+
+    Equal ones are added up whenever ``most`` are held, so a task sends a suffix once however much text it reads, unless ``most`` / 2 different ones are held.
+    """
+    most = SUFFIXES if most is None else most
+
+    def summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        m, *others, n = (np.concatenate(of) for of in zip(*held))
+        order = np.lexsort(m.T[::-1])
+        m = m[order]
+        start = np.flatnonzero(np.append(True, (m[1:] != m[:-1]).any(1)))
+        return m[start], *(of[order][start] for of in others), np.add.reduceat(n[order], start)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        if len(part[0]):
+            held.append((*part, np.ones(len(part[0]), np.int64)))
+        if sum(len(of[0]) for of in held) >= most:
+            held = [summed(held)]
+            if 2 * len(held[0][0]) >= most:
+                yield held.pop()
+    if held:
+        yield summed(held)
+
+
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Words and phrases that occur ``least`` times or more.
 
@@ -251,13 +277,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
             m[on, d] = ids[at[on] + d]
         return m, pair, slot
 
-    def counted_suffixes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        m, pair, slot = (np.concatenate(of) for of in zip(*parts))
-        order = np.lexsort(m.T[::-1])
-        m = m[order]
-        start = np.flatnonzero(np.append(True, (m[1:] != m[:-1]).any(1)))
-        n = np.diff(np.append(start, len(m)))
-        m, slot, pair = m[start], slot[order][start], pair[order][start]
+    def packed(m: np.ndarray, pair: np.ndarray, slot: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         own = np.ones(len(m), np.int32)
         own[np.isin(m[:, 0], crowded_words)] = 2
         own[np.isin(slot, crowded_pairs)] = 3
@@ -269,16 +289,8 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         return pa.record_batch([pa.array(group), s, pa.array(n), pa.array(own)], ["grp", "s", "n", "own"])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            if batch.num_rows and len((part := suffixes_of(batch))[0]):
-                parts.append(part)
-                held += len(part[0])
-            if held >= SUFFIXES:
-                yield counted_suffixes(parts)
-                parts, held = [], 0
-        if parts:
-            yield counted_suffixes(parts)
+        for counted in summed_suffixes(suffixes_of(batch) for batch in batches if batch.num_rows):
+            yield packed(*counted)
 
     dealt = texts.mapInArrow(suffixes, "grp long, s binary, n long, own int").repartition("grp").sortWithinPartitions("grp", "s")
     nodes = suffix_nodes(dealt, least).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -162,6 +162,35 @@ def test_scores_are_exact_beyond_64_bits(spark):
     assert got == 1000 * a * n // (l * r)
 
 
+def test_phrases_suffixes_travel_once_a_task():
+    rng = np.random.default_rng(8)
+    kinds = rng.integers(1, 4, (30, phrases.DEPTH)).astype(np.uint64)
+    kinds[:5, 3:] = 0
+    kinds = np.unique(kinds, axis=0)
+    drawn = [rng.integers(0, len(kinds), size) for size in (40, 0, 70, 1, 90, 200, 15)]
+    parts = [(kinds[at], at * 3) for at in drawn]
+    want = Counter(int(i) for at in drawn for i in at)
+    [(m, other, n)] = phrases.summed_suffixes(iter(parts), 64)
+    assert (m == kinds[sorted(want)]).all() and (other == 3 * np.array(sorted(want))).all() and n.tolist() == [want[i] for i in sorted(want)]
+    # where too many differ they go in several lots, and nothing is lost
+    lots = list(phrases.summed_suffixes(iter(parts), 50))
+    again = Counter()
+    for m, other, n in lots:
+        assert len(m) == len(np.unique(m, axis=0))
+        again.update(dict(zip((other // 3).tolist(), n.tolist())))
+    assert len(lots) > 1 and again == want
+    assert list(phrases.summed_suffixes(iter([(kinds[:0], np.empty(0))]), 50)) == []
+
+
+def test_phrases_in_many_lots(spark, monkeypatch):
+    rows = [(i, "the old mill by the river was the old mill by the sea." * (1 + i % 3), "en") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = brute_phrases([(lang, text) for _, text, lang in rows])
+    for most in (7, 40, 10**6):
+        monkeypatch.setattr(phrases, "SUFFIXES", most)
+        assert {tuple(r) for r in phrases.collocations(docs).collect()} == want and len(want) > 5
+
+
 def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrases.collocations(docs).count() == 0
