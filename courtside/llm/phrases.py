@@ -35,6 +35,8 @@ CROWDED = 1 / 1024
 TABLE = 400_000
 #: A task sorts and counts its suffixes when it holds so many, and sends them on if half as many are different.
 SUFFIXES = 1 << 20
+#: Words a task that sums suffixes is meant to read at most.
+READ = 1 << 26
 
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _LOWER_AND_ENDS = bytes(_ENDS[c] for c in LOWER_TABLE)
@@ -176,6 +178,14 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return m, length
 
 
+def long_tasks(texts: DataFrame, positions: int) -> DataFrame:
+    """The texts in as many partitions as there are cores, in more where one would read over ``READ`` words, and in no more than they have.
+
+    Every task that meets a suffix sends it, so with a task a split of the input there would be more suffixes and more tasks to send each of them.
+    """
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, -(-positions // READ)))
+
+
 def summed_suffixes(parts: Iterator[tuple[np.ndarray, ...]], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
     """A task's suffixes in order (rows of ``DEPTH`` ids), with whatever arrays follow them and how often each occurs.
 
@@ -292,7 +302,7 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
         for counted in summed_suffixes(suffixes_of(batch) for batch in batches if batch.num_rows):
             yield packed(*counted)
 
-    dealt = texts.mapInArrow(suffixes, "grp long, s binary, n long, own int").repartition("grp").sortWithinPartitions("grp", "s")
+    dealt = long_tasks(texts, positions).mapInArrow(suffixes, "grp long, s binary, n long, own int").repartition("grp").sortWithinPartitions("grp", "s")
     nodes = suffix_nodes(dealt, least).groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, stage(nodes, "phrases")
 

@@ -191,6 +191,19 @@ def test_phrases_in_many_lots(spark, monkeypatch):
         assert {tuple(r) for r in phrases.collocations(docs).collect()} == want and len(want) > 5
 
 
+def test_phrases_suffixes_are_summed_over_many_splits(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(phrases, "suffix_nodes", lambda rows, least, nodes=phrases.suffix_nodes: dealt.append(rows) or nodes(rows, least))
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, "the old mill by the river was the old mill by the sea.", "en") for i in range(400)]
+    want = brute_phrases([(lang, text) for _, text, lang in rows])
+    for splits in (5 * cores, 8 * cores):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(splits)
+        assert {tuple(r) for r in phrases.collocations(docs).collect()} == want and len(want) > 2
+    assert [rows.count() <= 11 * cores for rows in dealt] == [True, True]  # at most eleven different suffixes
+    assert [phrases.long_tasks(docs, n).rdd.getNumPartitions() for n in (0, 5 * cores * phrases.READ, 10**15)] == [cores, 5 * cores, 8 * cores]
+
+
 def test_phrases_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert phrases.collocations(docs).count() == 0
